@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwire.llm import mixing, quality, sharding, urls
+from sparkwire.llm import mixing, packing, quality, records, sharding, urls
 from sparkwire.llm.scratch import Scratch, table_path
 
 URL_RULES = (
@@ -23,10 +23,27 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files lie on every machine; they are not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return records.encode(spark, docs, Scratch(spark, "op3"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+
+
 def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"), Scratch(spark, "op4"), URL_RULES)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return packing.pack(docs, Scratch(spark, "op5"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"))
 
