@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwire.llm import minhash, mixing, packing, quality, records, sharding, urls
+from sparkwire.llm import embeddings, minhash, mixing, packing, quality, records, sharding, urls
 from sparkwire.llm.scratch import Scratch, table_path
 
 URL_RULES = (
@@ -35,6 +35,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, Scratch(spark, "op1"), minhash.Near(shingle=3, similar=85))
 
 
+def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"), Scratch(spark, "op2"))
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return records.encode(spark, docs, Scratch(spark, "op3"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
