@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwire.llm import embeddings, minhash, mixing, packing, quality, records, sharding, urls
+from sparkwire.llm import embeddings, html, minhash, mixing, packing, quality, records, sharding, urls
 from sparkwire.llm.scratch import Scratch, table_path
 
 URL_RULES = (
@@ -65,6 +65,10 @@ def op9_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_read(spark, sf_dir, "documents"), Scratch(spark, "op9"))
 
 
+def op10_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_read(spark, sf_dir, "pages"), Scratch(spark, "op10"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
