@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwire.llm import embeddings, html, minhash, mixing, packing, quality, records, sharding, urls
+from sparkwire.llm import embeddings, html, lm, minhash, mixing, packing, quality, records, sharding, urls
 from sparkwire.llm.scratch import Scratch, table_path
 
 URL_RULES = (
@@ -53,6 +53,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, Scratch(spark, "op5"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op6_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    model = lm.train(docs.where(~held_out), Scratch(spark, "op6"))
+    return lm.score(docs, model, held_out=held_out)
+
+
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"))
 
