@@ -314,3 +314,20 @@ class NearDuplicates:
 def near_duplicates(docs: DataFrame, scratch: Scratch, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id_col, n_shingles, component_id, kept (one of each component)."""
     return NearDuplicates(docs, scratch, near, id_col, text_col).result().withColumnRenamed("id", id_col)
+
+
+def keep_one(docs: DataFrame, scratch: Scratch, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with all their columns, one document of each component: the one with the least id.
+
+    Rows that repeat an id are one document, of which one row stays. A row without an id can't be told
+    from others and stays.
+    """
+    rows = near_duplicates(docs, scratch, near, id_col, text_col)
+    rows = scratch.table(rows.select(F.col(id_col).alias("r_id"), "kept"), "verdicts")
+    gone = rows.where(~F.col("kept")).select("r_id")
+    again = rows.where(F.col("kept") & F.col("r_id").isNotNull()).groupBy("r_id").agg(F.count("*").alias("n")).where("n > 1").select("r_id")
+    again = scratch.table(again, "again")
+    key = F.col(id_col).cast("long") == F.col("r_id")
+    out = docs.join(gone.unionByName(again), key, "left_anti")
+    twice = docs.join(again, key, "left_semi").dropDuplicates([id_col])
+    return out.unionByName(twice)
