@@ -9,11 +9,12 @@ mantissa bits, 16 bits in all, or nothing if no hash fell in it.
   bands a document has follows from its size: up to about 230 shingles they outnumber the elements in
   which two linked sets can differ, so that no link is lost; beyond that a link misses every band with
   a chance under 1e-8. Documents near a size class's border take part in both.
-* In a band's bucket every member is a candidate with the least member. Candidates are
+* In a band's bucket every member is a candidate with the least and the greatest member. Candidates are
   screened by the Jaccard estimate from their registers, corrected for chance collisions,
   five deviations below the limit; then full sets are compared.
-* A bucket whose members are still in several components is worked off in blocks: all its pairs
-  across components are screened, none is written out but those that pass.
+* Where the members of a bucket are still in several components, those outside its largest one are
+  compared with all others in blocks. A pair is screened in the first band that it shares, and
+  none is written out but those that pass; their full sets are compared as well.
 
 No bucket or group is capped. A bucket that holds a large part of all rows is only ever met by
 partial aggregation, by joins that adaptive execution splits, or in blocks of bounded size.
@@ -45,7 +46,8 @@ class Near:
     shingle: int = 5
     similar: int = 80  # percent
     deviations: float = 5.0
-    block: int = 256  # members of a bucket that are compared with as many others at once
+    block: int = 1024  # members of a bucket that are compared with as many others at once
+    short: int = 512  # sets up to this size are compared in full inside a block
 
     @property
     def width(self) -> int:
@@ -84,9 +86,13 @@ def registers(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray, sizes: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every band with a register in use."""
-    rows, keys = [], []
+def _edges(bands: int) -> np.ndarray:
+    return np.linspace(0, BUCKETS, bands + 1).astype(int)[:-1]
+
+
+def band_keys(regs: np.ndarray, sizes: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, band) of every band with a register in use; bands are numbered over all size classes."""
+    rows, keys, numbers = [], [], []
     salt = mix(np.arange(1, BUCKETS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
     coded = mix(regs.astype(np.uint64) * U(0xD1342543DE82EF95) + salt[None, :])
     coded[regs == 0] = 0
@@ -94,15 +100,33 @@ def band_keys(regs: np.ndarray, sizes: np.ndarray, near: Near) -> tuple[np.ndarr
         has = np.flatnonzero((sizes >= low) & (sizes <= high))
         if not len(has):
             continue
-        edges = np.linspace(0, BUCKETS, bands + 1).astype(int)[:-1]
+        edges = _edges(bands)
         sums = np.add.reduceat(coded[has], edges, axis=1)
         used = np.add.reduceat(regs[has] > 0, edges, axis=1) > 0
         r, b = np.nonzero(used)
         rows.append(has[r])
-        keys.append(mix(sums[r, b] + U(0x9E3779B97F4A7C15) * (b + 1 + 1000 * c).astype(np.uint64)))
+        numbers.append(b + BUCKETS * c)
+        keys.append(mix(sums[r, b] + U(0x9E3779B97F4A7C15) * (numbers[-1] + 1).astype(np.uint64)))
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(rows), np.concatenate(keys)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(numbers)
+
+
+def shared_before(band: int, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, near: Near) -> np.ndarray:
+    """Whether each pair shares a band with a lower number."""
+    out = np.zeros(len(b), bool)
+    same, used = a == b, (a > 0) | (b > 0)
+    for c, (low, high, bands) in enumerate(near.classes()[: band // BUCKETS + 1]):
+        edges = _edges(bands)
+        if c == band // BUCKETS:
+            edges = edges[: band % BUCKETS + 1]
+        both = (np.minimum(na, nb) >= low) & (np.maximum(na, nb) <= high)
+        if both.any() and len(edges):
+            hit = np.logical_and.reduceat(same[both], edges, axis=1) & np.logical_or.reduceat(used[both], edges, axis=1)
+            if c == band // BUCKETS:
+                hit = hit[:, :-1]
+            out[both] |= hit.any(axis=1)
+    return out
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,9 +139,11 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
     return np.clip((same / used - chance) / (1 - chance), 0, 1), used
 
 
-def passes(est: np.ndarray, used: np.ndarray, near: Near) -> np.ndarray:
+def passes(est: np.ndarray, used: np.ndarray, na: np.ndarray, nb: np.ndarray, near: Near) -> np.ndarray:
+    """Whether an estimate reaches the limit within the deviations of a sample without replacement."""
     t = near.similar / 100
-    return est >= t - near.deviations * np.sqrt(t * (1 - t) / used)
+    union = np.maximum((na + nb) / (1 + t), used + 1)
+    return est >= t - near.deviations * np.sqrt(t * (1 - t) / used * (union - used + 1) / union) - 1e-9
 
 
 def _binary_rows(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -158,8 +184,10 @@ def _bands(near: Near):
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 c = b.slice(at, 2048)
-                rows, keys = band_keys(_regs_of(c.column(2)), c.column(1).to_numpy(), near)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), c.column(0).take(pa.array(rows))], names=["key", "id"])
+                rows, keys, numbers = band_keys(_regs_of(c.column(2)), c.column(1).to_numpy(), near)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), pa.array(numbers, pa.int32()), c.column(0).take(pa.array(rows))], names=["key", "band", "id"]
+                )
 
     return run
 
@@ -171,8 +199,9 @@ def _screen(near: Near):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 c = batch.slice(at, 4096)
-                est, used = estimate(_regs_of(c.column(4)), _regs_of(c.column(5)), c.column(2).to_numpy(), c.column(3).to_numpy())
-                yield c.select([0, 1]).filter(pa.array(passes(est, used, near)))
+                na, nb = c.column(2).to_numpy(), c.column(3).to_numpy()
+                est, used = estimate(_regs_of(c.column(4)), _regs_of(c.column(5)), na, nb)
+                yield c.select([0, 1]).filter(pa.array(passes(est, used, na, nb, near)))
 
     return run
 
@@ -195,31 +224,46 @@ def _compare(near: Near):
     return run
 
 
-def _sets(near: Near):
+def _sets(near: Near, short: bool = False):
+    """Sorted sets; short ones hold the lower 32 bits of each hash, which may only add to what two sets share."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, t in slices(b.column(1), lower=True):
                 docs, h = t.shingles(near.shingle)
                 h, off = distinct(docs, h, hi - lo)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), _binary_rows(h, off)], names=["s_id", "set"])
+                kept = _binary_rows(h.astype(np.uint32) if short else h, off)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), kept], names=["s_id", "set"])
 
     return run
 
 
 def _blocks(near: Near):
-    """A block of a bucket: the pairs across components and chunks that pass the screen, without the bucket's leader."""
+    """A block of a bucket: pairs of its askers with its others that lie in two components and pass the screen."""
 
     def run(table: pa.Table) -> pa.Table:
         regs, n = _regs_of(table["regs"].combine_chunks()), table["n"].to_numpy()
-        ids, roots, chunk = table["id"].to_numpy(), table["root"].to_numpy(), table["chunk"].to_numpy()
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        ids, roots, asks, small = (table[c].to_numpy() for c in ("id", "root", "asks", "small"))
+        band, others = table["band"][0].as_py(), np.flatnonzero(~asks)
+        sets = [None if x is None else np.frombuffer(x, np.uint32) for x in table["set"].to_pylist()]
         out_a, out_b = [], []
-        for x in left:
-            y = right[(roots[right] != roots[x]) & ((ids[right] > ids[x]) if i == j else True)]
+        for x in np.flatnonzero(asks):
+            # two askers meet twice: the lower one asks
+            y = others[(roots[others] != roots[x]) & (~small[others] | (ids[others] > ids[x]))]
             if len(y):
                 est, used = estimate(regs[x][None, :], regs[y], n[x], n[y])
-                y = y[passes(est, used, near)]
+                y = y[passes(est, used, n[x], n[y], near)]
+            if len(y):
+                y = y[~shared_before(band, regs[x][None, :], regs[y], n[x], n[y], near)]
+            if len(y) and sets[x] is not None:
+                # short sets are compared as they are
+                full = np.array([sets[i] is not None for i in y])
+                y, z = y[~full], y[full]
+                if len(z):
+                    starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in z])])[:-1]
+                    common = np.add.reduceat(np.isin(np.concatenate([sets[i] for i in z]), sets[x]).astype(np.int64), starts)
+                    y = np.concatenate([y, z[100 * common >= near.similar * (n[x] + n[z] - common)]])
+            if len(y):
                 out_a.append(np.full(len(y), ids[x]))
                 out_b.append(ids[y])
         a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
@@ -263,12 +307,12 @@ class NearDuplicates:
         return self.rows
 
     def buckets(self) -> DataFrame:
-        """key, id and lead (least id) of every bucket with two members or more."""
-        bands = self.sketch.mapInArrow(_bands(self.near), "key long, id long")
+        """key, band, id, lead (least id) and last (greatest) of every bucket with two members or more."""
+        bands = self.sketch.mapInArrow(_bands(self.near), "key long, band int, id long")
         bands = self.scratch.table(bands, "bands")
         full = bands.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
-        full = self.scratch.table(full.select(F.col("key").alias("k"), "lead"), "buckets")
-        out = self.scratch.table(bands.join(full, F.col("key") == F.col("k")).select("key", "id", "lead"), "members")
+        full = self.scratch.table(full.select(F.col("key").alias("k"), "lead", "last"), "buckets")
+        out = self.scratch.table(bands.join(full, F.col("key") == F.col("k")).drop("k"), "members")
         self.scratch.drop(bands, full)
         return out
 
@@ -279,28 +323,40 @@ class NearDuplicates:
         return self.scratch.table(out, "screened")
 
     def across(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs across components in buckets that hold several, screened in blocks."""
+        """Pairs across components in buckets that hold several: the members outside the bucket's largest
+        component ask, in blocks, all others."""
         sc, block = self.scratch, self.near.block
         m = members.join(roots.select("node", "root"), F.col("id") == F.col("node"), "left")
-        m = sc.table(m.select("key", "id", "lead", F.coalesce("root", "id").alias("root")), "rooted")
-        several = m.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-        # with two members the pair has been judged already
-        several = sc.table(several.where("r0 < r1 and size > 2").select(F.col("key").alias("k"), "size"), "several")
-        m = m.join(several, F.col("key") == F.col("k")).where("id != lead")
-        chunks = F.ceil(F.col("size") / block).cast("int")
-        m = m.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), chunks - 1))
-        m = m.withColumn("other", other)
-        m = m.select("key", "id", "root", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-        m = m.join(self.sketch.withColumnRenamed("id", "s_id"), F.col("id") == F.col("s_id")).drop("s_id")
-        out = m.groupBy("key", "i", "j").applyInArrow(_blocks(self.near), "a long, b long")
-        return sc.table(out.distinct(), "across")
+        m = sc.table(m.select("key", "band", "id", "lead", "last", F.coalesce("root", "id").alias("root")), "rooted")
+        parts = m.groupBy("key", "root").agg(F.count("*").alias("n"))
+        several = parts.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("top"))
+        # the least and the greatest member have been compared with all others
+        several = several.where("size > top.n and size > 3")
+        several = several.select(F.col("key").alias("k"), "size", (F.col("size") - F.col("top.n")).alias("rest"), F.col("top.root").alias("top"))
+        several = sc.table(several, "several")
+        m = m.join(several, F.col("key") == F.col("k")).where("id != lead and id != last")
+        n_asks, n_others = (F.ceil(F.col(c) / block).cast("int") for c in ("rest", "size"))
+        place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+        m = m.withColumn("small", F.col("root") != F.col("top"))
+        others = m.withColumn("asks", F.lit(False)).withColumn("j", place(n_others)).withColumn("i", F.explode(F.sequence(F.lit(0), n_asks - 1)))
+        askers = m.where("small").withColumn("asks", F.lit(True)).withColumn("i", place(n_asks))
+        askers = askers.withColumn("j", F.explode(F.sequence(F.lit(0), n_others - 1)))
+        columns = ["key", "band", "id", "root", "small", "asks", "i", "j"]
+        m = sc.table(others.select(columns).unionByName(askers.select(columns)), "askers")
+        short = m.select("id").distinct().join(self.sketch.where(F.col("n") <= self.near.short).select(F.col("id").alias("w")), F.col("id") == F.col("w"), "left_semi")
+        short = sc.table(short.select(F.col("id").alias("w")), "short")
+        texts = self.docs.join(short, F.col("id") == F.col("w"), "left_semi")
+        short = sc.table(texts.mapInArrow(_sets(self.near, short=True), "s_id long, set binary"), "short-sets")
+        known = self.sketch.join(short, F.col("id") == F.col("s_id"), "left").select(F.col("id").alias("k_id"), "n", "regs", "set")
+        m = m.join(known, F.col("id") == F.col("k_id")).drop("k_id")
+        return sc.table(m.groupBy("key", "i", "j").applyInArrow(_blocks(self.near), "a long, b long").distinct(), "across")
 
     def result(self) -> DataFrame:
         sc = self.scratch
         rows = self.classes()
         members = self.buckets()
-        stars = members.where("id > lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+        least = members.where("id > lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
+        stars = least.unionByName(members.where("id < last").select(F.col("last").alias("a"), F.col("id").alias("b"))).distinct()
         links = self.linked(self.screened(stars))
         roots = sc.table(connect(links, sc), "roots")
         rest = self.across(members, roots)
