@@ -76,6 +76,13 @@ def op10_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(_read(spark, sf_dir, "pages"), Scratch(spark, "op10"))
 
 
+def oracle_sql() -> dict[str, str]:
+    """No operator here is plain SQL but those that :mod:`sparkwire.llm.oracles` states."""
+    from sparkwire.llm.oracles import SQL
+
+    return SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
