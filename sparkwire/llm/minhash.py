@@ -6,9 +6,11 @@ mantissa bits, 16 bits in all, or nothing if no hash fell in it.
 
 * Documents with equal sets are one class; from then on only a class's least document counts.
 * Bands of consecutive registers are hashed; documents that share a band are candidates. How many
-  bands a document has follows from its size: up to about 230 shingles they outnumber the elements in
-  which two linked sets can differ, so that no link is lost; beyond that a link misses every band with
-  a chance under 1e-8. Documents near a size class's border take part in both.
+  bands a document has follows from its size: up to about 230 shingles they outnumber the elements in which
+  two linked sets can differ, so that a link is lost only if all it shares falls into the bands of these
+  elements; small sets are cut in several ways against that. Beyond that a link has to miss every
+  band. Either has a chance under 1e-5, and mostly under 1e-8. Documents near a size class's border take
+  part in both.
 * In a band's bucket every member is a candidate with the least and the greatest member. Candidates are
   screened by the Jaccard estimate from their registers, corrected for chance collisions,
   five deviations below the limit; then full sets are compared.
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,26 +89,35 @@ def registers(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _edges(bands: int) -> np.ndarray:
-    return np.linspace(0, BUCKETS, bands + 1).astype(int)[:-1]
+@cache
+def groupings(near: Near) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(low, high, order of the registers, first register of each band) of every way in which bands are cut.
+
+    In few bands all elements may fall into one, so small classes cut them several times over other orders.
+    """
+    rng, out = np.random.default_rng(97), []
+    orders = [np.arange(BUCKETS), *(rng.permutation(BUCKETS) for _ in range(5))]
+    for low, high, bands in near.classes():
+        edges = np.linspace(0, BUCKETS, bands + 1).astype(int)[:-1]
+        out += [(low, high, order, edges) for order in orders[: 6 if bands <= 3 else 3 if bands <= 6 else 1]]
+    return out
 
 
 def band_keys(regs: np.ndarray, sizes: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, band) of every band with a register in use; bands are numbered over all size classes."""
+    """(row, key, band) of every band with a register in use; bands are numbered over all groupings."""
     rows, keys, numbers = [], [], []
     salt = mix(np.arange(1, BUCKETS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
     coded = mix(regs.astype(np.uint64) * U(0xD1342543DE82EF95) + salt[None, :])
     coded[regs == 0] = 0
-    for c, (low, high, bands) in enumerate(near.classes()):
+    for g, (low, high, order, edges) in enumerate(groupings(near)):
         has = np.flatnonzero((sizes >= low) & (sizes <= high))
         if not len(has):
             continue
-        edges = _edges(bands)
-        sums = np.add.reduceat(coded[has], edges, axis=1)
-        used = np.add.reduceat(regs[has] > 0, edges, axis=1) > 0
+        sums = np.add.reduceat(coded[has][:, order], edges, axis=1)
+        used = np.add.reduceat(regs[has][:, order] > 0, edges, axis=1) > 0
         r, b = np.nonzero(used)
         rows.append(has[r])
-        numbers.append(b + BUCKETS * c)
+        numbers.append(b + BUCKETS * g)
         keys.append(mix(sums[r, b] + U(0x9E3779B97F4A7C15) * (numbers[-1] + 1).astype(np.uint64)))
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -116,16 +128,12 @@ def shared_before(band: int, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: n
     """Whether each pair shares a band with a lower number."""
     out = np.zeros(len(b), bool)
     same, used = a == b, (a > 0) | (b > 0)
-    for c, (low, high, bands) in enumerate(near.classes()[: band // BUCKETS + 1]):
-        edges = _edges(bands)
-        if c == band // BUCKETS:
-            edges = edges[: band % BUCKETS + 1]
+    last = band // BUCKETS
+    for g, (low, high, order, edges) in enumerate(groupings(near)[: last + 1]):
         both = (np.minimum(na, nb) >= low) & (np.maximum(na, nb) <= high)
-        if both.any() and len(edges):
-            hit = np.logical_and.reduceat(same[both], edges, axis=1) & np.logical_or.reduceat(used[both], edges, axis=1)
-            if c == band // BUCKETS:
-                hit = hit[:, :-1]
-            out[both] |= hit.any(axis=1)
+        if both.any():
+            hit = np.logical_and.reduceat(same[both][:, order], edges, axis=1) & np.logical_or.reduceat(used[both][:, order], edges, axis=1)
+            out[both] |= (hit[:, : band % BUCKETS] if g == last else hit).any(axis=1)
     return out
 
 
