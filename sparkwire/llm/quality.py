@@ -105,6 +105,8 @@ def _dup_lines(t: Texts) -> np.ndarray:
     breaks = np.flatnonzero(t.data == 10)
     starts = np.union1d(t.offsets[:-1], breaks + 1)
     starts = starts[starts < n]
+    if not len(starts):
+        return np.zeros(n_docs, np.int64)
     ends = np.minimum(np.append(starts[1:], n), n)
     ends = ends - ((ends > starts) & (t.data[ends - 1] == 10))
     words = np.zeros(n + 1, np.int64)
