@@ -28,6 +28,21 @@ NO_ANSWER = (
 )
 
 
+def events_of(judged: DataFrame, run_id: str, now: str) -> DataFrame:
+    """The events by which a run's articles reached their states."""
+    status = F.col("status")
+    path = (
+        F.when(F.col("twin_of").isNotNull(), F.array(F.lit("DISCOVERED"), F.lit("REJECTED")))
+        .when(status == "READY_FOR_REVIEW", F.array(*[F.lit(s) for s in ("DISCOVERED", "ANALYZING", "APPROVED", "IMAGE_CREATED", "READY_FOR_REVIEW")]))
+        .otherwise(F.array(F.lit("DISCOVERED"), F.lit("ANALYZING"), status))
+    )
+    events = judged.select("id", path.alias("path"), "error_stage").select("id", "error_stage", F.posexplode("path").alias("step", "to_status"), "path")
+    return events.select(
+        F.col("id").alias("article_id"), F.lit(run_id).alias("run_id"), F.get("path", F.col("step") - 1).alias("from_status"), "to_status",
+        F.when(F.col("to_status") == "FAILED", F.col("error_stage")).alias("stage"), "step", F.to_timestamp(F.lit(now)).alias("created_at"),
+    )
+
+
 def run(documents: DataFrame, answers: DataFrame, store: DataFrame | None, now: str, run_id: str, limit: int = 50, max_age_hours: int = vocab.MAX_AGE_HOURS) -> Run:
     """One bounded run. ``answers`` has (original_url, answer); ``store`` the articles known before."""
     rows = S.entries(documents)
@@ -64,16 +79,7 @@ def run(documents: DataFrame, answers: DataFrame, store: DataFrame | None, now:
         "image_path": F.when(status == "READY_FOR_REVIEW", X.card_file(F.col("url_hash"), F.col("published_at"), F.col("discovered_at"))),
         "card": F.when(status == "READY_FOR_REVIEW", fit_headline(F.coalesce("headline", F.lit("")))),
     })
-    path = (
-        F.when(F.col("twin_of").isNotNull(), F.array(F.lit("DISCOVERED"), F.lit("REJECTED")))
-        .when(status == "READY_FOR_REVIEW", F.array(*[F.lit(s) for s in ("DISCOVERED", "ANALYZING", "APPROVED", "IMAGE_CREATED", "READY_FOR_REVIEW")]))
-        .otherwise(F.array(F.lit("DISCOVERED"), F.lit("ANALYZING"), status))
-    )
-    events = judged.select("id", path.alias("path"), "error_stage").select("id", "error_stage", F.posexplode("path").alias("step", "to_status"), "path")
-    events = events.select(
-        F.col("id").alias("article_id"), F.lit(run_id).alias("run_id"), F.get("path", F.col("step") - 1).alias("from_status"), "to_status",
-        F.when(F.col("to_status") == "FAILED", F.col("error_stage")).alias("stage"), "step", F.to_timestamp(F.lit(now)).alias("created_at"),
-    )
+    events = events_of(judged, run_id, now)
     per = items.groupBy("feed").agg(F.count("*").alias("items"), F.count_if(schedule.is_fresh(F.col("published_at"), cutoff)).alias("fresh"), F.max("published_at").alias("newest"))
     errors = rows.where("error is not null").select("feed", "error")
     health = documents.select("feed", "ordinal").join(errors, "feed", "left").join(per, "feed", "left").fillna({"items": 0, "fresh": 0})
