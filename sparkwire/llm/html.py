@@ -39,7 +39,7 @@ class Template:
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
-_NAMED = re.compile(r"(?is)\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,19 +67,25 @@ _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promotion banner cookie cookies "
     "consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription paywall signup signin login sidebar sidebars rail "
     "widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer comment comments commentlist reply replies respond "
-    "disqus share sharing social related recommended recommendations pagination pager skip toolbar search hidden".split()
+    "disqus share sharing social related recommended recommendations pagination pager toolbar search".split()
 )
 
 
-def _marks(attributes: str) -> tuple[bool, bool, str]:
+#: Those of them that an ``article`` of its own may be: a comment or a teaser.
+_TEASERS = frozenset("ad ads advert promo sponsored comment comments reply replies related recommended".split())
+
+
+def _marks(tag: str, attributes: str) -> tuple[bool, bool, str]:
     """(to be dropped, is the article, the class) from a tag's attributes."""
     drop = article = False
     cls = ""
-    for name, value in _NAMED.findall(attributes):
+    names = _TEASERS if tag == "article" else _NAMES
+    for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             words = {w.lower() for w in _WORDS.findall(value)}
-            drop |= not _NAMES.isdisjoint(words) or "header" in words and "article" not in words and "entry" not in words and "post" not in words
+            drop |= not names.isdisjoint(words)
+            drop |= tag != "article" and "header" in words and words.isdisjoint(("article", "entry", "post"))
             if name == "class":
                 cls = value
         elif name == "role":
@@ -89,9 +95,9 @@ def _marks(attributes: str) -> tuple[bool, bool, str]:
             drop = True
         elif name == "aria-hidden":
             drop |= value.lower() == "true"
-        else:
+        elif name == "itemprop":
             article |= value.lower() == "articlebody"
-    return drop, article, cls
+    return drop and tag not in ("html", "body", "main"), article, cls
 
 
 def read(page: str, template: frozenset[int] = frozenset()) -> tuple[str, list[int]]:
@@ -158,8 +164,8 @@ def read(page: str, template: frozenset[int] = frozenset()) -> tuple[str, list[i
                     break
         top = stack[-1]
         dropped = top[2] or tag in _DROP or tag == "header" and not top[3]
-        marked, article, cls = _marks(attributes) if attributes and not dropped else (False, False, "")
-        dropped = dropped or marked and tag not in ("html", "body", "article", "main")
+        marked, article, cls = _marks(tag, attributes) if attributes and not dropped else (False, False, "")
+        dropped = dropped or marked
         inside = top[3] or not dropped and (article or tag in ("article", "main"))
         if tag in _BLOCK and not dropped:
             pieces.append((None, top[3]))

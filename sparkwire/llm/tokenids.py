@@ -29,7 +29,7 @@ _ALNUM = frozenset((string.ascii_letters + string.digits).encode())
 
 
 class Encoder:
-    def __init__(self, path: str, spaces: str, most: int = 900_000):
+    def __init__(self, path: str, spaces: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

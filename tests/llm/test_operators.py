@@ -373,6 +373,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 def test_html_structure():
     assert html.read(PAGE)[0] == "Head & line\nFirst para.\nSecond link…\none\ntwo"
+    attributes = '<p title="the hidden id=ad role" data-id="ad">Kept</p><article class="comment">No</article><div class="overflow-hidden">Too</div><p hidden>No</p>'
+    assert html.read(attributes)[0] == "Kept\nToo"
     assert html.read("")[0] == "" and html.read("plain < text")[0] == "plain < text"
     assert html.read("<p>a" * 3000)[0].count("\n") == 2999
 
