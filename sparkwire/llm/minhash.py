@@ -369,7 +369,9 @@ class NearDuplicates:
         roots = sc.table(connect(links, sc), "roots")
         rest = self.across(members, roots)
         more = self.linked(rest)
-        roots = sc.table(connect(links.unionByName(more), sc), "roots")
+        # the components found so far are stars already, which the new links join in few rounds
+        known = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = sc.table(connect(known.unionByName(more), sc), "roots")
         out = rows.join(roots, F.col("rep") == F.col("node"), "left")
         component = F.coalesce("root", "rep")
         return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
