@@ -55,7 +55,7 @@ class Near:
     @property
     def width(self) -> int:
         """Registers to a band of a large set."""
-        return 6 if self.similar >= 85 else 5 if self.similar >= 80 else 4
+        return 6 if self.similar >= 80 else 4
 
     def classes(self) -> list[tuple[int, int, int]]:
         """(least size, most size, bands) of each size class; the most size includes a link's reach upwards."""
