@@ -252,7 +252,9 @@ def _blocks(near: Near):
     def run(table: pa.Table) -> pa.Table:
         regs, n = _regs_of(table["regs"].combine_chunks()), table["n"].to_numpy()
         ids, roots, asks, small = (table[c].to_numpy() for c in ("id", "root", "asks", "small"))
-        band, others = table["band"][0].as_py(), np.flatnonzero(~asks)
+        # a bucket that is one block has each member once, and its askers are among the others
+        whole = table["whole"][0].as_py()
+        band, others = table["band"][0].as_py(), np.arange(len(ids)) if whole else np.flatnonzero(~asks)
         sets = [None if x is None else np.frombuffer(x, np.uint32) for x in table["set"].to_pylist()]
         out_a, out_b = [], []
         for x in np.flatnonzero(asks):
@@ -345,11 +347,13 @@ class NearDuplicates:
         m = m.join(several, F.col("key") == F.col("k")).where("id != lead and id != last")
         n_asks, n_others = (F.ceil(F.col(c) / block).cast("int") for c in ("rest", "size"))
         place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-        m = m.withColumn("small", F.col("root") != F.col("top"))
-        others = m.withColumn("asks", F.lit(False)).withColumn("j", place(n_others)).withColumn("i", F.explode(F.sequence(F.lit(0), n_asks - 1)))
-        askers = m.where("small").withColumn("asks", F.lit(True)).withColumn("i", place(n_asks))
+        m = m.withColumn("small", F.col("root") != F.col("top")).withColumn("whole", F.col("size") <= 2 * block)
+        blocks = F.when(F.col("whole"), 1).otherwise(n_asks)
+        others = m.withColumn("asks", F.col("whole") & F.col("small")).withColumn("j", F.when(F.col("whole"), 0).otherwise(place(n_others)))
+        others = others.withColumn("i", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        askers = m.where("small and not whole").withColumn("asks", F.lit(True)).withColumn("i", place(n_asks))
         askers = askers.withColumn("j", F.explode(F.sequence(F.lit(0), n_others - 1)))
-        columns = ["key", "band", "id", "root", "small", "asks", "i", "j"]
+        columns = ["key", "band", "id", "root", "small", "asks", "whole", "i", "j"]
         m = sc.table(others.select(columns).unionByName(askers.select(columns)), "askers")
         short = m.select("id").distinct().join(self.sketch.where(F.col("n") <= self.near.short).select(F.col("id").alias("w")), F.col("id") == F.col("w"), "left_semi")
         short = sc.table(short.select(F.col("id").alias("w")), "short")
