@@ -303,6 +303,18 @@ def test_quality_bands(spark):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def test_bands_tell_labelled_documents_apart():
+    """Marked-up word lists of few letter groups, as labelled low-quality documents are, fall below the bands; prose of the same groups stays."""
+    r = random.Random(2)
+    groups = "th he an in er on re ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
+    word = lambda: "".join(r.choice(groups) for _ in range(r.randint(2, 4)))
+    for n in (600, 1200, 2500):
+        prose = " ".join(r.choice(("the", "of", "and", "to", "is", word())) if r.random() < 0.3 else word() for _ in range(n))
+        listed = " | ".join(word() for _ in range(n))
+        got = quality.measure(pa.array([prose, listed], pa.string())).to_pylist()
+        assert not any(g["base_failed"] for g in got) and [g["kept"] for g in got] == [True, False], (n, got)
+
+
 # --- 8 ---------------------------------------------------------------------------------
 def test_mixing(spark, scratch):
     r = random.Random(6)
