@@ -9,11 +9,13 @@ is the count that all but ``miss`` of the pairs at the limit reach.
 Lines are sorted and windows counted inside neighbourhoods, as a single line cannot tell a large
 table apart: each of ``tables`` tables cuts ``dims`` of the lines into cells of width ``cell`` at a random
 shift, and vectors of one label that share a cell in some table are neighbours. A pair at the limit
-shares a cell of a table with chance (1 - E|d| / cell)^dims. In a neighbourhood the vectors
+shares a cell of a table with chance (1 - E|d| / cell)^dims, about 0.38 here; there are so many tables that limit
+pairs miss all of them with a chance of the order of ``miss`` too (simulated, see the README). In a neighbourhood the vectors
 are sorted on one line, the window around each query gives its first candidates, and the
 other lines are counted for those, dropping a pair as soon as it can no longer reach ``least``.
 A pair is counted in the first table that has it in one cell and in one window of the line it sorts
-by (table t sorts by line t), so links are counted once without writing pairs out: a task gives each vector its number of links, and a star of links for the components.
+by (table t sorts by line t, or t modulo ``lines``), so links are counted once without writing pairs out: a task gives each
+vector its number of links, and a star of links for the components.
 
 A cell with more than ``block`` vectors is worked off in blocks against blocks, spread over tasks.
 
@@ -44,7 +46,7 @@ class Counting:
     lines: int = 32
     window: float = 2.5
     miss: float = 1e-6
-    tables: int = 16
+    tables: int = 48
     dims: int = 8
     cell: float = 1.4
     block: int = 512
@@ -143,7 +145,7 @@ def _block(c: Counting):
         take = lambda name, kind: np.frombuffer(b"".join(t[name].to_pylist()), kind).reshape(len(ids), -1)
         x, places, cells = take("vector", np.float64), take("places", np.float32), take("cells", np.int32)
         # the first line in sorted order; a chunk is compared with itself or with another
-        line = table
+        line = table % c.lines
         order = np.argsort(places[:, line], kind="stable")
         ids, chunk, x, places, cells = ids[order], chunk[order], x[order], places[order], cells[order]
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
@@ -161,15 +163,16 @@ def _block(c: Counting):
                 q, o = q[q < o], o[q < o]
             near = collides(q, o, line)
             q, o = q[near], o[near]
-            if table and len(q):
-                old = ((cells[q, :table] == cells[o, :table]) & collides(q[:, None], o[:, None], np.arange(table))).any(axis=1)
-                q, o = q[~old], o[~old]
             count = np.ones(len(q), np.int32)
             for done, k in enumerate([k for k in range(c.lines) if k != line], start=2):
                 count += collides(q, o, k)
                 ok = count + (c.lines - done) >= least
                 if not ok.all():
                     q, o, count = q[ok], o[ok], count[ok]
+            for e in range(table):
+                old = (cells[q, e] == cells[o, e]) & collides(q, o, e % c.lines)
+                if old.any():
+                    q, o = q[~old], o[~old]
             for v in range(0, len(q), 8192):
                 a, b = q[v : v + 8192], o[v : v + 8192]
                 hit = np.einsum("ij,ij->i", x[a], x[b]) >= c.cosine

@@ -118,6 +118,28 @@ def test_embeddings_equal_brute_force(spark, scratch):
     assert embeddings.near_duplicates(df.limit(0), scratch).count() == 0
 
 
+def test_embeddings_keep_links_at_the_limit(spark, scratch):
+    """Vectors around a few centres, at cosines of 0.98 to 0.985 from them: no link is lost."""
+    r = np.random.default_rng(7)
+    n, dim, rows, want = 1500, 64, [], {}
+    for g in range(6):
+        centre = r.standard_normal(dim)
+        centre /= np.linalg.norm(centre)
+        y = r.standard_normal((n, dim))
+        y -= (y @ centre)[:, None] * centre
+        y /= np.linalg.norm(y, axis=1)[:, None]
+        c = r.uniform(0.98001, 0.985, n)[:, None]
+        x = np.vstack([centre, c * centre + np.sqrt(1 - c * c) * y])
+        near = (x @ x.T >= 0.98).sum(axis=1) - 1
+        for k in range(n + 1):
+            want[len(rows)] = int(near[k])
+            rows.append((len(rows), x[k].tolist(), g))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {q["vec_id"]: (q["n_links"], q["component_id"]) for q in embeddings.near_duplicates(df, scratch).collect()}
+    assert {i: q[0] for i, q in got.items()} == want
+    assert {i: q[1] for i, q in got.items()} == {i: i - i % (n + 1) for i in want}
+
+
 # --- 3 and 5 -------------------------------------------------------------------
 ODD = ["", " a", "a ", "a  b", "a\n\nb", "x y z  b", "don't we'll", "~ a~b", "10 20", "ß É́ é", "<|endoftext|> x", "tab\there", "a...b !!! »...", "İ ΣΑΣ", "日本語　終", "a\x1cb", "\r\n\r\nab", "'s 's"]
 
