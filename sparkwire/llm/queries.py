@@ -56,7 +56,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    model = lm.train(docs.where(~held_out), Scratch(spark, "op6"))
+    model = lm.train(docs.where(~held_out), Scratch(spark, "op6"), least=1)
     return lm.score(docs, model, held_out=held_out)
 
 

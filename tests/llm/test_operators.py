@@ -299,6 +299,36 @@ def test_language_model_equals_brute_force(spark, scratch, partitions):
     assert all(r["score"] == 0 and r["n_known"] == 0 for r in empty)
 
 
+def test_language_model_keeps_bigrams_seen_once(spark, tmp_path):
+    import math
+    from zlib import crc32
+
+    from sparkwire.llm.queries import queries
+
+    docs = [(i, t, i) for i, t in corpus(seed=12) if i is not None]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries()["op6_ngram_trie"](spark, str(tmp_path)).collect()
+    c, bi, ctx, after, words = Counter(), Counter(), Counter(), Counter(), {}
+    for i, t, _ in docs:
+        w = words[i] = brute.WORD.findall((t or "").translate(brute.LOWER)) + [None]
+        if crc32(str(i).encode()) % 7 != 2:
+            c.update(w)
+            bi.update(zip([None, *w[:-1]], w, strict=True))
+    for (a, _), m in bi.items():
+        ctx[a] += m
+        after[a] += 1
+    n, v, d, once = sum(c.values()), len(c), 0.6, 0
+    for r in got:
+        score, before, w = 0.0, None, words[r["doc_id"]]
+        for x in w:
+            p = (d * after[before] / ctx[before] if ctx[before] else 1) * ((c[x] - d) / n if c[x] else d * v / n)
+            score += math.log10(p + ((bi[before, x] - d) / ctx[before] if bi[before, x] else 0))
+            once += r["held_out"] and bi[before, x] == 1
+            before = x
+        assert abs(r["score"] - score) < len(w) / 3000
+    assert len(got) == len(docs) and once > 0
+
+
 # --- 7 -------------------------------------------------------------------------------
 LINES = st.lists(st.sampled_from(["a b c", "a b c d", " a b c", "", "é # x", "x y z x y z", "\t"]), max_size=30)
 
