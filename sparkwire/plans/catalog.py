@@ -468,7 +468,7 @@ def retry_backoff(spark, sf):
 
 @query()
 def balanced_wrap(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", fit_headline(F.substring(title(), 1, 120)).alias("fit"))
+    d = read(spark, sf, "documents").select("doc_id", fit_headline(title()).alias("fit"))
     return d.select("doc_id", "fit.size", F.array_join("fit.lines", "\n").alias("lines"), "fit.truncated")
 
 
