@@ -138,6 +138,8 @@ def round_robin_worklist(spark, sf):
   u AS (SELECT *, coalesce(sum(CASE WHEN user_id % 3 <> 0 THEN 1 ELSE 0 END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM t)
   SELECT event_id, pos FROM u WHERE used < 40""")
 def run_limit(spark, sf):
+    """The rows of one run: its work list is bounded, as a run of the reference works on 200 articles at most (command
+    line range 1 to 200), and what lies beyond is found again by the next run. The list of 200 is part of the query."""
     e, _ = _bounds(spark, sf)
     top = e.orderBy(F.col("t").desc(), "event_id").limit(200)
     top = top.withColumn("pos", F.row_number().over(Window.orderBy(F.col("t").desc(), "event_id")).cast("long"))
@@ -148,6 +150,8 @@ def run_limit(spark, sf):
   f AS (SELECT min(pos) AS first FROM t WHERE event_type = 'error')
   SELECT event_id, CASE WHEN pos = first THEN 'returned' WHEN pos > first AND user_id % 2 = 0 THEN 'not_registered' WHEN pos > first AND event_type = 'view' THEN 'skipped' ELSE 'worked' END AS fate FROM t, f""")
 def outage_fates(spark, sf):
+    """The fates of one run's bounded work list, here of 100 rows: an outage stops the run it happens in, and what is
+    not on the run's list has no fate in it. The list is part of the query."""
     e, _ = _bounds(spark, sf)
     top = e.orderBy(F.col("t").desc(), "event_id").limit(100)
     top = top.withColumn("pos", F.row_number().over(Window.orderBy(F.col("t").desc(), "event_id")).cast("long"))
