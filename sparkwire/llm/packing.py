@@ -6,7 +6,7 @@ driver places runs of alike pieces into runs of alike bins, and finds the tighte
 segment tree over the capacities 0..capacity. Its work depends on the capacity and not on
 the number of documents; the placement of every piece is what placing one at a time gives.
 A piece finds its run from its rank among the pieces of its length. The ranks come from a count
-per task and length, so that no length has to meet in one task.
+per length and group of tasks, so that no length has to meet in one task.
 
 Cases: a null text is empty and has the end id only; a text longer than the capacity is cut into full
 pieces and a rest; ties of length go in any order; equal ids are documents of their own; an empty
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwire.llm.scratch import Scratch
-from sparkwire.llm.tokenids import encoder, groups
+from sparkwire.llm.tokenids import encoder
 
 _RUNS = "r_length long, rank_from long, rank_to long, bin long, per_bin long, offset long"
 
@@ -102,33 +102,33 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return runs
 
 
-def pieces(docs: DataFrame, scratch: Scratch, tokenizer: str, spaces: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
-    """Every piece, with the task that made it and its rank there among pieces of its length."""
+_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int"
+_PIECE_NAMES = [c.split()[0] for c in _PIECE.split(", ")]
+
+
+def pieces(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
+    """Every piece, with the task that made it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, spaces)
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist()
-            for lo, hi in groups(texts):
-                rows = []
-                for doc_id, got in zip(ids[lo:hi], enc.encode_all([t or b"" for t in texts[lo:hi]]), strict=True):
-                    tokens = np.append(np.frombuffer(got, enc.dtype), enc.dtype.type(end_id)).astype("<u4")
-                    for n, start in enumerate(range(0, len(tokens), capacity)):
-                        piece = tokens[start : start + capacity]
-                        rows.append((doc_id, n, start, len(piece), zlib.crc32(piece.tobytes()), part, int(seen[len(piece)])))
-                        seen[len(piece)] += 1
+            doc_ids = b.column(0)
+            for lo, ids, offsets in enc.of_column(b.column(1), end_id):
+                n = -(-np.diff(offsets) // capacity)
+                doc = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                begin = offsets[doc] + piece * capacity
+                end = np.minimum(begin + capacity, offsets[doc + 1])
+                data = memoryview(ids.astype("<u4", copy=False).view(np.uint8))
+                crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PIECE_TYPES, strict=True)], names=_PIECE_NAMES
-                )
+                    [doc_ids.slice(lo, len(n)).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(end - begin),
+                     pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part), pa.int32())],
+                    names=_PIECE_NAMES,
+                )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
-    return scratch.table(rows.mapInArrow(run, schema), "pieces")
-
-
-_PIECE_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
-_PIECE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    return scratch.table(rows.mapInArrow(run, _PIECE), "pieces")
 
 
 def pack(
@@ -136,24 +136,27 @@ def pack(
     scratch: Scratch,
     tokenizer: str,
     end_id: int = 1,
-    spaces: str = "dropped",
     capacity: int = 4096,
+    groups: int = 128,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark: SparkSession = docs.sparkSession
-    made = pieces(docs, scratch, tokenizer, spaces, end_id, capacity, id_col, text_col)
-    per_task = scratch.table(made.groupBy("part", "length").agg(F.count("*").alias("n")), "per-task")
+    made = pieces(docs, scratch, tokenizer, end_id, capacity, id_col, text_col)
+    # tasks are dealt into groups, whose number does not grow: a length may have a third of all pieces, but none of its groups
+    made = made.withColumn("part", F.col("part") % groups)
+    sums = scratch.table(made.groupBy("length", "part").agg(F.count("*").alias("n")), "sums")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_task.select(
-        F.col("part").alias("b_part"), F.col("length").alias("b_length"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
-    )
+    base = sums.select(F.col("part").alias("b_part"), F.col("length").alias("b_length"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # at most a row per length of 1..capacity and group
     base = scratch.table(base, "bases")
-    # at most one row per length of 1..capacity comes to the driver
-    counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    # at most one row per length comes to the driver
+    counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = scratch.table(spark.createDataFrame(best_fit(counts, capacity), _RUNS), "runs")
-    ranked = made.join(base, (F.col("part") == F.col("b_part")) & (F.col("length") == F.col("b_length")))
+    inside = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
+    ranked = made.withColumn("nth", F.row_number().over(inside) - 1)
+    ranked = ranked.join(base, (F.col("length") == F.col("b_length")) & (F.col("part") == F.col("b_part")))
     ranked = ranked.withColumn("rank", F.col("base") + F.col("nth"))
     hit = (F.col("length") == F.col("r_length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
     within = F.col("rank") - F.col("rank_from")

@@ -14,8 +14,8 @@ Documents are put in order of id by range partitions, one file each. A task writ
 name of its own attempt and renames at the end; only files that the committed manifest names
 count, so a lost executor leaves no half file in the result.
 
-Cases: a null text is empty and has the end id only; equal ids stand together, ordered by
-text; a null id comes first; an empty table gives no files; other columns are not read.
+Cases: a null text is empty and has the end id only; equal ids stand together, ordered by a hash of the
+text, equal rows in any order; a null id comes first; an empty table gives no files; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwire.llm.scratch import Scratch
-from sparkwire.llm.tokenids import encoder, groups
+from sparkwire.llm.tokenids import encoder
 
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<qBB")
@@ -93,50 +93,48 @@ def read_index(file: str) -> np.ndarray:
         return np.frombuffer(f.read(), INDEX)
 
 
-def _writer(folder: str, tokenizer: str, spaces: str, end_id: int):
+def _writer(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx = TaskContext.get()
         name = f"{folder}/ids-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.rec"
         fs, path = pafs.FileSystem.from_uri(name)
-        enc = encoder(tokenizer, spaces)
-        width = enc.dtype.itemsize
-        end = np.array([end_id], enc.dtype).tobytes()
-        out, index, at, tokens = None, [], 0, 0
+        enc, out, beside, at, tokens, records = encoder(tokenizer), None, None, 0, 0, 0
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist()
-            for lo, hi in groups(texts):
-                done = []
-                for doc_id, enc_ids in zip(ids[lo:hi], enc.encode_all([t or b"" for t in texts[lo:hi]]), strict=True):
-                    enc_ids += end
-                    done.append(framed := frame(payload(doc_id, enc_ids, width)))
-                    index.append((doc_id or 0, at, len(framed), tokens))
-                    at += len(framed)
-                    tokens += len(enc_ids) // width
-                if out is None:
-                    fs.create_dir(path.rpartition("/")[0], recursive=True)
-                    out = fs.open_output_stream(path + ".tmp")
-                out.write(b"".join(done))
+            if not b.num_rows:
+                continue
+            if out is None:
+                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                out, beside = fs.open_output_stream(path + ".tmp"), fs.open_output_stream(path + ".idx")
+            doc_ids = b.column(0)
+            for lo, ids, offsets in enc.of_column(b.column(1), end_id):
+                raw, w, rows = ids.tobytes(), ids.dtype.itemsize, np.zeros(len(offsets) - 1, INDEX)
+                frames = []
+                for i, doc_id in enumerate(doc_ids.slice(lo, len(rows)).to_pylist()):
+                    frames.append(frame(payload(doc_id, raw[offsets[i] * w : offsets[i + 1] * w], w)))
+                    rows[i] = (doc_id or 0, at, len(frames[-1]), tokens + offsets[i])
+                    at += len(frames[-1])
+                tokens, records = tokens + len(ids), records + len(rows)
+                out.write(b"".join(frames))
+                beside.write(rows.tobytes())
         if out is None:
             return
         out.close()
-        with fs.open_output_stream(path + ".idx") as f:
-            f.write(np.array(index, INDEX).tobytes())
+        beside.close()
         fs.move(path + ".tmp", path)
         yield pa.RecordBatch.from_pydict(
-            {"part": pa.array([ctx.partitionId()], pa.int32()), "file": [name], "records": [len(index)], "tokens": [tokens], "bytes": [at]}
+            {"part": pa.array([ctx.partitionId()], pa.int32()), "file": [name], "records": [records], "tokens": [tokens], "bytes": [at]}
         )
 
     return run
 
 
-def write(
-    docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int, spaces: str = "kept", id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def write(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files; the manifest: file, records, tokens, bytes and start (tokens in all files before)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    # rows of one id, null ids among them, may be many: their texts' hashes and then the rows' places split them
+    ordered = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange("id", "h", "place").sortWithinPartitions("id", "h")
     folder = scratch.place("ids")
-    manifest = scratch.table(ordered.mapInArrow(_writer(folder, tokenizer, spaces, end_id), _MANIFEST), "manifest")
+    manifest = scratch.table(ordered.select("id", "text").mapInArrow(_writer(folder, tokenizer, end_id), _MANIFEST), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     return scratch.table(manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))), "files")
 

@@ -42,7 +42,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         held = np.full(m, base, np.uint64)
         held[0] = 1
         held = np.multiply.accumulate(held)
-        if m > 1 << 24:
+        if m > 1 << 22:
             return held[:n]
         _pow[base] = held
     return held[:n]

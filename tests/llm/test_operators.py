@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -144,36 +145,74 @@ def test_embeddings_keep_links_at_the_limit(spark, scratch):
 ODD = ["", " a", "a ", "a  b", "a\n\nb", "x y z  b", "don't we'll", "~ a~b", "10 20", "ß É́ é", "<|endoftext|> x", "tab\there", "a...b !!! »...", "İ ΣΑΣ", "日本語　終", "a\x1cb", "\r\n\r\nab", "'s 's"]
 
 
-@pytest.mark.parametrize("name, spaces", [("byte_bpe_50k.json", "kept"), ("word_bpe_49k.json", "dropped")])
+@pytest.mark.parametrize("name, most", [("byte_bpe_50k.json", 1 << 16), ("word_bpe_49k.json", 1 << 16), ("byte_bpe_50k.json", 16)])
 @given(st.lists(st.lists(st.sampled_from([*"aB é\n'~.%7\tΣ字　\xa0s", "<|endoftext|>"]), max_size=30).map("".join), max_size=8))
 @settings(max_examples=60, deadline=None)
-def test_ids_are_the_librarys(name, spaces, texts):
-    e = tokenids.encoder(tokenizer_path(name), spaces)
-    texts = [*texts, *ODD]
-    assert e.encode_all([t.encode() for t in texts]) == [e.whole(t) for t in texts]
+def test_ids_are_the_librarys(name, most, texts):
+    e = encoder_of(name, most)
+    assert e.cut
+    assert ids_of(e, [*texts, *ODD, None]) == [e.whole(t).tolist() for t in [*texts, *ODD, ""]]
 
 
-def test_ids_with_a_small_memory():
-    e = tokenids.Encoder(tokenizer_path("byte_bpe_50k.json"), "kept", most=20)
-    texts = [t for _, t in corpus() if t]
-    assert e.encode_all([t.encode() for t in texts]) == [e.whole(t) for t in texts]
+@cache
+def encoder_of(name, most):
+    return tokenids.Encoder(tokenizer_path(name), most)
+
+
+def ids_of(e, texts):
+    out = []
+    for lo, ids, offsets in e.of_column(pa.array(texts, pa.string()), 7):
+        assert lo == len(out)
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            assert ids[b - 1] == 7
+            out.append(ids[a : b - 1].tolist())
+    return out
+
+
+@pytest.mark.parametrize("most", [50, 1 << 16])
+def test_ids_of_long_texts(most):
+    texts = [t for _, t in corpus()]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = tokenids.Encoder(tokenizer_path(name), most)
+        assert ids_of(e, texts) == [e.whole(t or "").tolist() for t in texts]
+        assert e.memory.n <= most
+
+
+def test_ids_where_hashes_meet(monkeypatch):
+    """Parts of one hash are told apart by their bytes."""
+    monkeypatch.setattr(tokenids.Texts, "spans", lambda self, s, e: (e - s).astype(np.uint64) * np.uint64(1 << 60))
+    e = tokenids.Encoder(tokenizer_path("word_bpe_49k.json"), 64)
+    texts = ["ab cd", "cd, ab", "x", "efg hij ab"]
+    assert ids_of(e, texts) == [e.whole(t).tolist() for t in texts]
+
+
+def test_ids_of_an_unknown_file(tmp_path):
+    """A file whose settings don't allow cutting is given whole texts."""
+    import json
+
+    spec = json.load(open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    e = tokenids.Encoder(str(tmp_path / "t.json"))
+    assert e.cut is None and ids_of(e, ODD) == [e.whole(t).tolist() for t in ODD]
 
 
 def test_records_round_trip(spark, scratch, tmp_path):
-    docs = corpus(n=20)
+    docs = [*corpus(n=20), (None, "no id")]
     random.Random(2).shuffle(docs)
     path = tokenizer_path("byte_bpe_50k.json")
     files = records.write(frame(spark, docs).repartition(3), scratch, path, 0)
     got = records.read(files).orderBy("doc_id").collect()
-    e, start = tokenids.encoder(path, "kept"), 0
-    for r, (i, t) in zip(got, sorted(docs), strict=True):
-        ids = np.append(np.frombuffer(e.whole(t or ""), e.dtype), 0).astype("<u4")
+    docs = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0))
+    e, start = tokenids.encoder(path), 0
+    for r, (i, t) in zip(got, docs, strict=True):
+        ids = np.append(e.whole(t or ""), 0).astype("<u4")
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     f = files.orderBy("start").first()
     index = records.read_index(f["file"])
     some = list(records.fetch(f["file"], index, [len(index) - 1, 0]))
-    assert [s[0] for s in some] == [index["doc_id"][-1], index["doc_id"][0]]
+    assert [s[0] for s in some] == [index["doc_id"][-1], None]
     local = f["file"].removeprefix("file://").removeprefix("file:")
     data = bytearray(open(local, "rb").read())
     data[20] ^= 1
@@ -199,8 +238,8 @@ def test_packing(spark, scratch):
     docs = [*corpus(n=30), (900, "twice"), (900, "twice")]
     path = tokenizer_path("word_bpe_49k.json")
     got = packing.pack(frame(spark, docs).repartition(3), scratch, path, capacity=256).collect()
-    e = tokenids.encoder(path, "dropped")
-    ids = {i: np.append(np.frombuffer(e.whole(t or ""), e.dtype), 1).astype("<u4") for i, t in docs}
+    e = tokenids.encoder(path)
+    ids = {i: np.append(e.whole(t or ""), 1).astype("<u4") for i, t in docs}
     seen = Counter()
     for r in got:
         part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
