@@ -117,20 +117,21 @@ def distinct(docs: np.ndarray, hashes: np.ndarray, n_docs: int) -> tuple[np.ndar
     return h, np.searchsorted(d, np.arange(n_docs + 1))
 
 
-def slices(column: pa.Array, lower: bool, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int, Texts]]:
+def slices(column: pa.Array, lower: bool, most_bytes: int = 1 << 19, most_rows: int = 2048) -> Iterator[tuple[int, int, Texts]]:
     """Consecutive runs of rows whose texts together hold about most_bytes; a longer text comes alone.
 
-    A null text counts as empty. Memory is bounded by most_bytes or the longest text.
+    A null text counts as empty. Memory is bounded by most_rows texts of a batch or the longest one.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    bufs = column.buffers()
-    offsets = np.frombuffer(bufs[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(bufs[2], np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
-        to = min(to, len(column))
-        yield at, to, Texts(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower)
-        at = to
+    for first in range(0, len(column), most_rows):
+        rows = column.slice(first, most_rows).cast(pa.large_string()).fill_null("")
+        bufs = rows.buffers()
+        offsets = np.frombuffer(bufs[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
+        data = np.frombuffer(bufs[2], np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
+            to = min(to, len(rows))
+            yield first + at, first + to, Texts(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower)
+            at = to
