@@ -399,6 +399,7 @@ def keep_one(docs: DataFrame, scratch: Scratch, near: Near = Near(), id_col: str
     again = verdicts.where(F.col("kept") & F.col("v_id").isNotNull()).groupBy("v_id").agg(F.count("*").alias("n")).where("n > 1").select("v_id")
     again = scratch.table(again, "again")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("k_id"))
-    out = rows.join(gone.unionByName(again), F.col("k_id") == F.col("v_id"), "left_anti")
+    # the ids that go grow with the documents, so they are never broadcast: one shuffle of the texts at every size
+    out = rows.join(gone.unionByName(again).hint("merge"), F.col("k_id") == F.col("v_id"), "left_anti")
     twice = rows.join(again, F.col("k_id") == F.col("v_id"), "left_semi").groupBy("k_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return out.select("row.*").unionByName(twice.select("row.*"))

@@ -10,9 +10,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one is set only where none is (tests)."""
@@ -43,11 +46,22 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return the table read back, with its schema given (no inference job)."""
         place = self.place(name)
-        df.write.option("compression", "zstd").parquet(place)
+        with self._small_batches():
+            df.write.option("compression", "zstd").parquet(place)
         out = self.spark.read.schema(df.schema).parquet(place)
         out._sparkwire_place = place
         return out
 
+    @contextmanager
+    def _small_batches(self):
+        """Rows hold whole texts, sets or sketches: fewer to a batch than Spark's 10000 keep tasks and workers small."""
+        held = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, str(min(int(held), BATCH_ROWS)) if int(held) > 0 else str(BATCH_ROWS))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(_BATCH, held)
+
     def drop(self, *tables: DataFrame | str) -> None:
         for t in tables:
             self._delete(t if isinstance(t, str) else t._sparkwire_place)
