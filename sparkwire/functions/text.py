@@ -40,25 +40,37 @@ class _Visible(HTMLParser):
             self.parts.append(data)
 
 
+class _Tidy(dict):
+    """A translation that drops format characters and turns control characters into spaces."""
+
+    def __missing__(self, code: int) -> int | str | None:
+        kind = unicodedata.category(chr(code))
+        self[code] = None if kind == "Cf" else " " if kind == "Cc" and code < 128 else code
+        return self[code]
+
+
+_TIDY = _Tidy()
+_ESCAPED_TAG = re.compile(r"&lt;\s*/?\s*[a-zA-Z]")
+
+
+def _rendered(markup: str) -> str:
+    parser = _Visible()
+    parser.feed(markup)
+    parser.close()
+    return " ".join(parser.parts)
+
+
 def plain_text(raw: str | None) -> str:
-    """Readable text of untrusted HTML."""
-    if not raw:
-        return ""
-    text = raw[: vocab.RAW_HTML_CHARS]
-    if "<" not in text and re.search(r"&lt;\s*/?\s*[a-zA-Z]", text):
-        text = entities.unescape(text)
-    if "<" in text:
-        parser = _Visible()
-        parser.feed(text)
-        parser.close()
-        text = " ".join(parser.parts)
-    for _ in range(2):
-        text, before = entities.unescape(text), text
-        if text == before:
-            break
-    text = unicodedata.normalize("NFC", text)
-    text = "".join(c for c in text if unicodedata.category(c) != "Cf")
-    return " ".join(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ", text).split())
+    """Readable text of untrusted HTML, which may be escaped once; references are decoded twice at most.
+
+    Only the first ``RAW_HTML_CHARS`` characters of a feed's summary count: a fixed limit of the data model.
+    """
+    markup = (raw or "")[: vocab.RAW_HTML_CHARS]
+    if "<" not in markup and _ESCAPED_TAG.search(markup):
+        markup = entities.unescape(markup)
+    text = _rendered(markup) if "<" in markup else markup
+    text = entities.unescape(entities.unescape(text))
+    return " ".join(unicodedata.normalize("NFC", text).translate(_TIDY).split())
 
 
 @F.pandas_udf(T.StringType())

@@ -83,12 +83,57 @@ def test_numbers_and_domains(one):
     assert one(X.unsupported_domains(F.lit("see evil.example and Node.js"), F.lit("about node.js"))) == ["evil.example"]
 
 
-def test_layout():
-    w = lambda t: len(t) * 10
-    assert layout.glued(["Raises", "$40", "Million,"]) == ["Raises", "$40 Million,"]
-    assert layout.balanced(["aaaa", "bbbb", "cccc", "dddd"], w, 150, 3) == ["aaaa bbbb", "cccc dddd"]
-    lines = layout.balanced("the plan to build a new tower".split(), w, 170, 3)
-    assert not layout.has_bad_break(lines) and all(w(x) <= 170 for x in lines)
-    assert layout.balanced(["toolongword"], w, 50, 3) is None
-    size, lines, cut = layout.fitted("word " * 100, 390)
-    assert size == 34 and cut and lines[-1].endswith("…") and len(lines) == 4
+def plain_layout(words, width, most, lines):
+    """The cheapest of all layouts on as few lines as fit, by trying every one."""
+    from itertools import combinations
+
+    for k in range(1, lines + 1):
+        found = []
+        for cuts in combinations(range(1, len(words)), k - 1):
+            ends = [*cuts, len(words)]
+            spans = list(zip([0, *cuts], ends, strict=True))
+            wide = [width(" ".join(words[a:b])) for a, b in spans]
+            if max(wide) <= most:
+                found.append((max(w + (1200 if b < len(words) and layout.dangles(words[b - 1]) else 0) for w, (_, b) in zip(wide, spans, strict=True)), cuts[::-1]))
+        if found:
+            return min(found)[0], k
+    return None
+
+
+def test_layout_is_the_cheapest():
+    import random
+
+    r = random.Random(4)
+    pool = "the a to plan tower building in announcement x of it into".split()
+    for _ in range(300):
+        words = [r.choice(pool) for _ in range(r.randint(1, 10))]
+        cap = r.randint(4, 30)
+        line = layout.Line(words, lambda t: [1] * len(t) and layout.np.ones(len(t), int))
+        ends, want = line.balanced(cap, 1200, 4), plain_layout(words, len, cap, 4)
+        if want is None:
+            assert ends is None
+            continue
+        cost = max(len(line.text(a, b)) + (1200 if b < len(words) and layout.dangles(words[b - 1]) else 0) for a, b in zip([0, *ends[:-1]], ends, strict=True))
+        assert (cost, len(ends)) == want, (words, cap, ends)
+
+
+@pytest.mark.parametrize(
+    "headline, size, lines, cut",
+    [
+        ("", 34, [], False),
+        ("Short one", 76, ["Short one"], False),
+        ("Startup raises $40 Million, plans to build a tower", 76, ["Startup raises", "$40 Million, plans", "to build a tower"], False),
+        ("the plan to build a new tower in the old town of the north", 76, ["the plan to build", "a new tower in the old", "town of the north"], False),
+        ("word " * 100, 34, ["word word word word word word word word word word"] * 3 + ["word word word word word word word word word word…"], True),
+        ("y" * 60, 34, ["y" * 49 + "-", "y" * 11], False),
+    ],
+)
+def test_fitted_headlines(headline, size, lines, cut):
+    assert layout.fitted(headline, 390) == (size, lines, cut)
+
+
+def test_layout_parts():
+    assert layout.glued("Raises $40  Million, or 7 percent; 5 dogs") == ["Raises", "$40 Million,", "or", "7 percent;", "5", "dogs"]
+    assert layout.glued("1,000 million billion") == ["1,000 million", "billion"]
+    assert layout.ellipsized("one two, three", 9 * 600, layout.fixed_advance) == "one two…"
+    assert layout.hyphenated(["abcdefghij"], 4 * 600, layout.fixed_advance) == ["abc-", "def-", "ghij"]
