@@ -62,7 +62,8 @@ class Bands:
     chunk_bytes: int = 2048
     chunk_least: float = 0.465
     chunk_most: float = 0.80
-    #: A document fails when more than this share of its full chunks lies outside the chunk limits.
+    #: A document fails when more than this share of its bytes lies in chunks outside their limits. The last chunk, which may be
+    #: shorter, has the whole-text limits of its own length.
     chunk_share: float = 0.34
     level: int = 3
 
@@ -134,9 +135,22 @@ def _ratio(z: zstandard.ZstdCompressor, raw: bytes) -> float:
     return len(z.compress(raw)) / len(raw)
 
 
+def _limits(bands: Bands, size: int) -> tuple[float, float]:
+    return next((least, most) for low, least, most in reversed(bands.whole) if size >= low)
+
+
+def _outside(z: zstandard.ZstdCompressor, raw: bytes, bands: Bands) -> int:
+    """Bytes of the chunks whose ratio lies outside their limits."""
+    total = 0
+    for at in range(0, len(raw), bands.chunk_bytes):
+        chunk = raw[at : at + bands.chunk_bytes]
+        least, most = (bands.chunk_least, bands.chunk_most) if len(chunk) == bands.chunk_bytes else _limits(bands, len(chunk))
+        total += 0 if least <= _ratio(z, chunk) <= most else len(chunk)
+    return total
+
+
 def measure(column: pa.Array, bands: Bands = Bands()) -> pa.RecordBatch:
     z = zstandard.ZstdCompressor(level=bands.level)
-    floors = np.array([b[0] for b in bands.whole])
     out: dict[str, list] = {k: [] for k in MEASURES}
     for _, _, t in slices(column, lower=False):
         n = t.n_words
@@ -155,11 +169,9 @@ def measure(column: pa.Array, bands: Bands = Bands()) -> pa.RecordBatch:
             reason = "base" if failed[i] else None
             if raw:
                 ratios[i] = _ratio(z, raw)
-                _, least, most = bands.whole[int(np.searchsorted(floors, len(raw), "right")) - 1]
-                full = len(raw) // bands.chunk_bytes
-                if full:
-                    each = [_ratio(z, raw[j * bands.chunk_bytes : (j + 1) * bands.chunk_bytes]) for j in range(full)]
-                    worst[i] = sum(not bands.chunk_least <= r <= bands.chunk_most for r in each) / full
+                least, most = _limits(bands, len(raw))
+                if len(raw) > bands.chunk_bytes:
+                    worst[i] = _outside(z, raw, bands) / len(raw)
                 if reason is None:
                     reason = "repetitive" if ratios[i] < least else "incompressible" if ratios[i] > most else None
                     if reason is None and worst[i] > bands.chunk_share:
