@@ -1,16 +1,20 @@
 """Shards by a consistent-hash ring with virtual nodes and bounded loads.
 
 Each shard has ``vnodes`` points on a 2^32 ring, and owns the arcs that end in them. A row
-stands at a hash of its key and belongs to the arc it lies in; a shard holds n // shards rows
+stands at a hash of its text and belongs to the arc it lies in; a shard holds n // shards rows
 or one more, and rows past that continue clockwise to the next shard with room. So counts
-are at most one apart, and only overflow moves when rows or shards come.
+are at most one apart, and only overflow moves when rows or shards come. Equal texts stand at one
+place of the ring, and so come to one shard, or to the next ones clockwise where it is full.
 
 Rows are counted by arc in Spark. The ring is a fixed number of arcs, whatever the table's
 size, so the driver can walk it and gives, for each arc, which ranks go to which
-shard. A row finds its place from its rank in its arc; no row is seen by the driver.
+shard. A row finds its place from its rank in its arc; no row is seen by the driver. For the ranks an
+arc is cut into cells of the ring and a cell is dealt by the rows' hashes, so that many equal texts
+don't meet in one task.
 
-Cases: a null text has no bytes; equal ids (and null ids) stand together and are ordered by
-size and checksum, and wholly equal rows in any order; an empty table gives an empty one.
+Cases: a null text has no bytes and stands where the empty text does; equal ids are ordered by
+size and checksum, and wholly equal rows in any order; rows without an id are dealt by their place in the
+input; an empty table gives an empty one; columns of ``docs`` may have any names.
 """
 
 from __future__ import annotations
@@ -68,7 +72,7 @@ def walk(counts: dict[int, int], owners: list[int], shards: int) -> list[tuple[i
 
 
 def place(
-    docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, vnodes: int = 128
+    docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, vnodes: int = 128, deal: int = 16
 ) -> DataFrame:
     """A row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     spark: SparkSession = docs.sparkSession
@@ -80,8 +84,9 @@ def place(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 32).alias("at"),
     )
-    at = F.shiftrightunsigned(F.xxhash64(F.col("doc_id")), 32)
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", "size", "text_crc32"))
     # The arc of a place is the number of points below it; past the last point the ring closes at arc 0.
     cells = 1 << 12
     first = [bisect.bisect_left(points, c << 20) for c in range(cells)]
@@ -91,13 +96,20 @@ def place(
     arc = lookup
     for j in range(widest):
         arc = arc + F.when(F.element_at(ends, (F.col("first") + (j + 1)).cast("int")) < F.col("at"), 1).otherwise(0)
-    rows = rows.withColumn("at", at).withColumn("first", lookup)
-    rows = scratch.table(rows.withColumn("arc", (arc % len(points)).cast("int")).drop("first"), "placed")
+    rows = rows.withColumn("first", lookup).withColumn("arc", (arc % len(points)).cast("int")).withColumn("cell", F.shiftright("at", 20).cast("int"))
+    rows = scratch.table(rows.withColumn("deal", F.pmod(own, F.lit(deal)).cast("int")).drop("first"), "placed")
+    # at most a row per arc or cell of the ring and deal
+    group = ["arc", "cell", "deal"]
+    sums = scratch.table(rows.groupBy(*group).agg(F.count("*").alias("n")), "sums")
     # one row per arc of the ring: bounded by shards * vnodes
-    counts = {r["arc"]: r["n"] for r in rows.groupBy("arc").agg(F.count("*").alias("n")).collect()}
+    counts = {r["arc"]: r["n"] for r in sums.groupBy("arc").agg(F.sum("n").alias("n")).collect()}
     segments = spark.createDataFrame(walk(counts, [s for _, s in nodes], shards), _SEGMENTS)
-    order = Window.partitionBy("arc").orderBy("at", "doc_id", "size", "text_crc32")
-    ranked = rows.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
+    before = Window.partitionBy("arc").orderBy("cell", "deal").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*[F.col(c).alias(f"b_{c}") for c in group], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    order = Window.partitionBy(*group).orderBy("at", "doc_id", "size", "text_crc32")
+    ranked = rows.withColumn("nth", F.row_number().over(order) - 1)
+    ranked = ranked.join(base, (F.col("arc") == F.col("b_arc")) & (F.col("cell") == F.col("b_cell")) & (F.col("deal") == F.col("b_deal")))
+    ranked = ranked.withColumn("rank", F.col("base") + F.col("nth"))
     hit = (F.col("arc") == F.col("seg_arc")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
     # at most 2 * shards * vnodes + shards segments of 28 bytes: each one ends an arc or fills a shard
     return ranked.join(F.broadcast(segments), hit).select(
