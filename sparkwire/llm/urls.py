@@ -121,7 +121,9 @@ def template_verdicts(urls: DataFrame, scratch: Scratch, tree: Tree = Tree()) ->
         fixed = fixed.withColumn("new", F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0))
         fixed = fixed.withColumn("branch", F.sum("new").over(by_p.rowsBetween(Window.unboundedPreceding, 0)))
         same = Window.partitionBy("host", "template", literal, "branch")
-        name = F.when(literal, F.array_join(F.array_sort(F.collect_set("seg").over(same)), "|")).otherwise(F.col("seg"))
+        # a branch of several segments is called by its least one and their number, whatever their number is
+        more = F.count("*").over(same) - 1
+        name = F.when(literal & (more > 0), F.concat(F.min("seg").over(same), F.lit("|+"), more.cast("string"))).otherwise(F.col("seg"))
         fixed = fixed.select("host", "template", "seg", name.alias("token"))
         variable = nodes.where(F.col("v_host").isNotNull() & literal).select("host", "template", "seg", F.lit("*").alias("token"))
         tokens = fixed.unionByName(variable).select(
