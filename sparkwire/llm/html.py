@@ -3,12 +3,13 @@
 One pass reads a page as a stream of tags with a stack, and hashes each element's subtree (tag,
 class, text and children) when it closes. Subtrees are counted per host in Spark, over the
 host's different pages; those on a large share of them are the site's template and are deleted in a
-second pass. What HTML itself says is not the article (scripts, navigation, forms, elements whose
-class or id names an advert, a notice, comments ...) is dropped as it is read. Where a page has
-``article`` or ``main`` elements with text, only these count.
+second pass. What HTML itself says is not the article (scripts, navigation, forms, elements that a class or
+id calls an advert, a notice, comments ...) is dropped as it is read. Where ``article`` or ``main`` elements hold the larger
+part of what is then left of a page, only these count; a smaller one is a teaser beside the text, and all is kept.
 
 Cases: a null or empty html gives an empty text; a null url is a host of its own; repeated pages count once
-towards a template; unclosed and crossing tags close as browsers close them; pages of any length are
+towards a template; a host with fewer different pages than ``Template.pages`` has no template, and what its tags and
+names don't drop is kept; unclosed and crossing tags close as browsers close them; pages of any length are
 read whole; an empty table gives an empty one; other columns are not read.
 """
 
@@ -22,7 +23,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwire.llm.scratch import Scratch
@@ -62,17 +63,30 @@ _CLOSES = {
     "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}),
 }
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
-#: Words of a class or id that name what is no part of an article.
+#: What a class or id names that is no part of an article.
 _NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promotion banner cookie cookies "
-    "consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription paywall signup signin login sidebar sidebars rail "
-    "widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer comment comments commentlist reply replies respond "
-    "disqus share sharing social related recommended recommendations pagination pager toolbar search".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promotion promotions banner "
+    "banners cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter newsletters subscribe subscription paywall "
+    "signup signin login sidebar sidebars rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer comment "
+    "comments commentlist reply replies respond disqus share sharing social related recommended recommendations pagination pager toolbar search".split()
 )
+#: Words after which the name still means what the word before says: a share-box is for sharing, share-prices are not.
+_SHELL = frozenset("area bar block body box button buttons container content form group holder icon icons inner item items link links list panel row section slot text unit wrap wrapper".split())
+#: Names that also hold as the first of several words, whatever follows.
+_FIRST = frozenset("ad ads advert adverts advertisement adsense adslot sponsored promo cookie cookies consent gdpr newsletter popup sidebar navbar comment comments disqus footer".split())
+#: Those of the names that an ``article`` of its own may have: a comment or a teaser.
+_TEASERS = frozenset("ad ads advert promo sponsored comment comments reply replies related recommended".split())
 
 
-#: Those of them that an ``article`` of its own may be: a comment or a teaser.
-_TEASERS = frozenset("ad ads advert promo sponsored comment comments reply replies related recommended".split())
+def _named(value: str, names: frozenset[str]) -> bool:
+    """Whether one of a class's or id's names is among ``names``: by its last word that is no mere shell, or by its first."""
+    for token in value.split():
+        words = [w.lower() for w in _WORDS.findall(token)]
+        while len(words) > 1 and (words[-1] in _SHELL or words[-1].isdigit()):
+            words.pop()
+        if words and (words[-1] in names or words[0] in names & _FIRST):
+            return True
+    return False
 
 
 def _marks(tag: str, attributes: str) -> tuple[bool, bool, str]:
@@ -84,7 +98,7 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, str]:
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             words = {w.lower() for w in _WORDS.findall(value)}
-            drop |= not names.isdisjoint(words)
+            drop |= _named(value, names)
             drop |= tag != "article" and "header" in words and words.isdisjoint(("article", "entry", "post"))
             if name == "class":
                 cls = value
@@ -149,7 +163,8 @@ def read(page: str, template: frozenset[int] = frozenset()) -> tuple[str, list[i
                     close()
             continue
         if tag in _VOID:
-            if not stack[-1][2]:
+            # a line break is a space; other empty elements, as wbr or img, stand inside words
+            if tag in ("hr", "br") and not stack[-1][2]:
                 pieces.append((None if tag == "hr" else " ", stack[-1][3]))
             continue
         closes, scope = _CLOSES.get(tag, (None, None))
@@ -175,7 +190,8 @@ def read(page: str, template: frozenset[int] = frozenset()) -> tuple[str, list[i
             at = end.start() if end else len(page)
     while len(stack) > 1:
         close()
-    if any(inside and t and not t.isspace() for t, inside in pieces):
+    inside, whole = (sum(len(t) - t.count(" ") for t, article in pieces if t and (article or not only)) for only in (True, False))
+    if inside and 2 * inside >= whole:
         pieces = [p for p in pieces if p[1]]
     blocks, now = [], []
     for t, _ in [*pieces, (None, True)]:
@@ -187,22 +203,21 @@ def read(page: str, template: frozenset[int] = frozenset()) -> tuple[str, list[i
     return "\n".join(b for b in blocks if b), hashes
 
 
-def host_of(url: str | None) -> str:
-    rest = (url or "").partition("://")[2]
-    return re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
+def _host(url: Column) -> Column:
+    host = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit(""))
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 256):
-            hosts, pages, held = [], [], []
-            for url, page in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256).to_pylist(), strict=True):
+            pages, held = [], []
+            for page in b.column(1).slice(at, 256).to_pylist():
                 text, hashes = read(page or "")
-                hosts.append(host_of(url))
                 pages.append(int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
                 held.append(np.unique(np.array(hashes, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(held, pa.list_(pa.int64()))], names=["host", "page", "hashes"]
+                [b.column(0).slice(at, 256), pa.array(pages, pa.int64()), pa.array(held, pa.list_(pa.int64()))], names=["host", "page", "hashes"]
             )
 
 
@@ -219,9 +234,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame, scratch: Scratch, t: Template, url_col: str, html_col: str) -> DataFrame:
     """(t_host, template): the hashes of each host's template, at most its pages' mean number of subtrees / share."""
-    found = pages.select(F.col(url_col).alias("u"), F.col(html_col).alias("h")).mapInArrow(_subtrees, "host string, page long, hashes array<long>")
-    # a page that is repeated counts once
-    found = scratch.table(found.groupBy("host", "page").agg(F.first("hashes").alias("hashes")), "subtrees")
+    found = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col).alias("h")).mapInArrow(_subtrees, "host string, page long, hashes array<long>")
+    # a page that is repeated counts once; of two with one text, but other elements, the lesser hashes count
+    found = scratch.table(found.groupBy("host", "page").agg(F.min("hashes").alias("hashes")), "subtrees")
     sizes = scratch.table(found.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= t.pages), "hosts")
     counts = found.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= t.pages)
     counts = counts.join(sizes.withColumnRenamed("host", "s_host"), F.col("host") == F.col("s_host")).where(F.col("n") >= t.share * F.col("pages"))
@@ -238,8 +253,7 @@ def main_text(
     The templates are joined by host; Spark broadcasts them while they are below its limit, so that pages stay in place.
     """
     found = templates(pages, scratch, t, url_col, html_col)
-    host = F.lower(F.coalesce(F.regexp_extract(url_col, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
     both = rows.join(found, F.col("host") == F.col("t_host"), "left").select("page_id", "url", "html", "template")
     kind = rows.schema["page_id"].dataType.simpleString()
     return both.mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long")
