@@ -9,17 +9,19 @@ is the count that all but ``miss`` of the pairs at the limit reach.
 Lines are sorted and windows counted inside neighbourhoods, as a single line cannot tell a large
 table apart: each of ``tables`` tables cuts ``dims`` of the lines into cells of width ``cell`` at a random
 shift, and vectors of one label that share a cell in some table are neighbours. A pair at the limit
-shares a cell of a table with chance (1 - E|d| / cell)^dims, about 0.38 here; there are so many tables that limit
-pairs miss all of them with a chance of the order of ``miss`` too (simulated, see the README). In a neighbourhood the vectors
+shares a cell of a table with chance (1 - E|d| / cell)^dims, about 0.3 here, others with 3e-5; there are so many tables that
+limit pairs miss all of them with a chance of the order of ``miss`` too (simulated, see the README). In a neighbourhood the vectors
 are sorted on one line, the window around each query gives its first candidates, and the
 other lines are counted for those, dropping a pair as soon as it can no longer reach ``least``.
 A pair is counted in the first table that has it in one cell and in one window of the line it sorts
-by (table t sorts by line t, or t modulo ``lines``), so links are counted once without writing pairs out: a task gives each
+by (table t sorts by line t modulo ``lines``), so links are counted once without writing pairs out: a task gives each
 vector its number of links, and a star of links for the components.
 
-A cell with more than ``block`` vectors is worked off in blocks against blocks, spread over tasks.
+Equal vectors of one label are one class, compared once and counted by its number. Places on lines are whole numbers of
+1 / 512, from which cells follow exactly wherever they are computed; a row that is shuffled holds a vector as it
+came and its places. A cell with more than ``block`` classes is worked off in blocks against blocks, spread over tasks.
 
-Cases: a vector that is null, empty, zero, or holds null or non-finite components, and one whose label is null, is
+Cases: a vector that is null, empty, zero, or holds null or non-finite components, and one whose label or id is null, is
 linked with nothing; vectors of different lengths are never compared; equal vectors are linked like any
 others; ids that repeat are vectors of their own in the counts and one node in the components; an
 empty table gives an empty one; other columns are not read.
@@ -33,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwire.llm.components import connect
@@ -46,8 +48,8 @@ class Counting:
     lines: int = 32
     window: float = 2.5
     miss: float = 1e-6
-    tables: int = 48
-    dims: int = 8
+    tables: int = 64
+    dims: int = 10
     cell: float = 1.4
     block: int = 512
     seed: int = 11
@@ -70,16 +72,29 @@ class Counting:
         return m
 
 
+STEP = 512  # places on a line are counted in 1 / STEP
+
+
 def directions(dim: int, c: Counting) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(directions, the lines of each table, the shift of each table and line)."""
     rng = np.random.default_rng([c.seed, dim])
     a = rng.standard_normal((dim, c.lines))
     picks = np.stack([rng.choice(c.lines, min(c.dims, c.lines), replace=False) for _ in range(c.tables)])
-    return a, picks, rng.random((c.tables, picks.shape[1])) * c.cell
+    return a, picks, (rng.random((c.tables, picks.shape[1])) * c.cell * STEP).astype(np.int64)
+
+
+def cells_of(places: np.ndarray, dim: int, c: Counting) -> np.ndarray:
+    """A hash of the cell in each table, from the places on all lines."""
+    _, picks, shift = directions(dim, c)
+    cells = (places.astype(np.int64)[:, picks] + shift[None]) // round(c.cell * STEP)
+    keys = np.full(cells.shape[:2], dim, np.int64)
+    for j in range(cells.shape[2]):
+        keys = (keys ^ cells[:, :, j]) * np.int64(0x100000001B3) + (keys >> 29)
+    return (keys ^ (keys >> 32)).astype(np.int32)
 
 
 def usable(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Rows that can link, and their unit vectors in double precision."""
+    """Rows that can link, and their vectors scaled so that no square overflows or vanishes, in double precision."""
     rows, out = [], []
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -92,33 +107,45 @@ def usable(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
         top = np.abs(v).max()
         if not np.isfinite(top) or top == 0:
             continue
-        v = v / top  # so that no square overflows or vanishes
         rows.append(int(i))
-        out.append(v / np.sqrt(np.dot(v, v)))
+        out.append(v / top)
     return np.array(rows, np.int64), out
 
 
-def _cells(c: Counting):
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _places(c: Counting, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, vectors = usable(b.column(2))
             sizes = np.array([len(v) for v in vectors], np.int64)
             for dim in np.unique(sizes):
                 has = np.flatnonzero(sizes == dim)
-                x = np.stack([vectors[i] for i in has])
-                a, picks, shift = directions(int(dim), c)
-                places = (x @ a).astype(np.float32)
-                cells = np.floor((places[:, picks] + shift[None]) / c.cell).astype(np.int64)
-                keys = np.full(cells.shape[:2], dim, np.int64)
-                for j in range(cells.shape[2]):
-                    keys = (keys ^ cells[:, :, j]) * np.int64(0x100000001B3) + (keys >> 29)
-                keys = (keys ^ (keys >> 32)).astype(np.int32)
+                a = directions(int(dim), c)[0]
+                places = np.clip(np.rint(_units(np.stack([vectors[i] for i in has])) @ a * STEP), -32767, 32767).astype(np.int16)
+                raw = [b.column(2)[int(rows[i])].values.to_numpy(zero_copy_only=False).astype(kind).tobytes() for i in has]
                 at = pa.array(rows[has])
-                pack = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at), pack(x), pack(places), pack(keys)],
-                    names=["id", "label", "vector", "places", "cells"],
-                )
+                    [b.column(0).take(at), b.column(1).take(at), pa.array(np.full(len(has), dim, np.int32)), pa.array(raw, pa.binary()),
+                     pa.array([p.tobytes() for p in places], pa.binary())],
+                    names=["id", "label", "dim", "vector", "places"],
+                )
+
+    return run
+
+
+def _cells(c: Counting):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column(1).to_numpy()
+            for dim in np.unique(dims):
+                at = pa.array(np.flatnonzero(dims == dim))
+                places = np.frombuffer(b"".join(b.column(2).take(at).to_pylist()), np.int16).reshape(len(at), -1)
+                keys = cells_of(places, int(dim), c)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(list(keys), pa.list_(pa.int32()))], names=["node", "cells"])
 
     return run
 
@@ -135,24 +162,24 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = parent[parent]
 
 
-def _block(c: Counting):
-    """A block of a cell: links of chunk i with chunk j, as (id, links) and a star (id, root)."""
-    window, least = np.float32(c.window * c.reach), c.least
+def _block(c: Counting, kind: type):
+    """A block of a cell: links of chunk i with chunk j, as (node, links) and a star (node, root)."""
+    window, least = int(c.window * c.reach * STEP) + 1, c.least  # rounding takes a step at most from a difference
 
     def run(t: pa.Table) -> pa.Table:
-        table, i, j = t["table"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
-        ids, chunk = t["id"].to_numpy(), t["chunk"].to_numpy()
+        table, i, j, dim = (t[k][0].as_py() for k in ("table", "i", "j", "dim"))
+        ids, chunk, weight = t["node"].to_numpy(), t["chunk"].to_numpy(), t["weight"].to_numpy()
         take = lambda name, kind: np.frombuffer(b"".join(t[name].to_pylist()), kind).reshape(len(ids), -1)
-        x, places, cells = take("vector", np.float64), take("places", np.float32), take("cells", np.int32)
+        x, places = _units(take("vector", kind).astype(np.float64)), take("places", np.int16).astype(np.int32)
+        cells = cells_of(places, dim, c)
         # the first line in sorted order; a chunk is compared with itself or with another
         line = table % c.lines
         order = np.argsort(places[:, line], kind="stable")
-        ids, chunk, x, places, cells = ids[order], chunk[order], x[order], places[order], cells[order]
+        ids, chunk, weight, x, places, cells = (v[order] for v in (ids, chunk, weight, x, places, cells))
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         at = places[right, line]
-        wide = window * np.float32(1.001)  # beyond what rounding may cut off; collides() decides
-        lo = np.searchsorted(at, places[left, line] - wide, "left")
-        hi = np.searchsorted(at, places[left, line] + wide, "right")
+        lo = np.searchsorted(at, places[left, line] - window, "left")
+        hi = np.searchsorted(at, places[left, line] + window, "right")
         collides = lambda q, o, k: np.abs(places[q, k] - places[o, k]) <= window
         links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for s in range(0, len(left), 64):
@@ -161,8 +188,6 @@ def _block(c: Counting):
             o = right[np.repeat(lo[s : s + 64], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
             if i == j:
                 q, o = q[q < o], o[q < o]
-            near = collides(q, o, line)
-            q, o = q[near], o[near]
             count = np.ones(len(q), np.int32)
             for done, k in enumerate([k for k in range(c.lines) if k != line], start=2):
                 count += collides(q, o, k)
@@ -178,12 +203,12 @@ def _block(c: Counting):
                 hit = np.einsum("ij,ij->i", x[a], x[b]) >= c.cosine
                 a, b = a[hit], b[hit]
                 if len(a):
-                    links += np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+                    links += (np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))).astype(np.int64)
                     _union(parent, a, b)
         has = np.flatnonzero(links)
         least_id = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(least_id, parent, ids)
-        return pa.table({"id": ids[has], "links": links[has], "root": least_id[parent[has]]})
+        return pa.table({"node": ids[has], "links": links[has], "root": least_id[parent[has]]})
 
     return run
 
@@ -192,33 +217,62 @@ def near_duplicates(
     table: DataFrame, scratch: Scratch, c: Counting = Counting(), id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
     """A row per vector: id_col, n_links, component_id, kept."""
+    spark_type = table.schema[vector_col].dataType.elementType.simpleString()
+    kind = np.float32 if spark_type == "float" else np.float64
     rows = table.select(
         F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v")
     )
-    cells = rows.where("label is not null and v is not null").mapInArrow(
-        _cells(c), "id long, label string, vector binary, places binary, cells binary"
-    )
-    cells = scratch.table(cells, "cells")
-    # one row per vector and table, without the vector
-    key = [F.substring("cells", 4 * k + 1, 4) for k in range(c.tables)]
-    wide = cells.select("id", "label", F.posexplode(F.array(*key)).alias("table", "cell"))
-    sizes = wide.groupBy("label", "table", "cell").agg(F.count("*").alias("size")).where("size > 1")
-    sizes = scratch.table(sizes.select(F.col("label").alias("c_label"), F.col("table").alias("c_table"), F.col("cell").alias("c_cell"), "size"), "sizes")
-    long = cells.select("id", "label", "vector", "places", "cells", F.posexplode(F.array(*key)).alias("table", "cell"))
-    long = long.join(
-        sizes, (F.col("label") == F.col("c_label")) & (F.col("table") == F.col("c_table")) & (F.col("cell") == F.col("c_cell"))
-    ).drop("c_label", "c_table", "c_cell")
+    usable_rows = rows.where("id is not null and label is not null and v is not null")
+    placed = usable_rows.mapInArrow(_places(c, kind), "id long, label string, dim int, vector binary, places binary")
+    prints = [F.xxhash64("vector").alias("f1"), F.xxhash64(F.lit(1), "vector").alias("f2")]
+    placed = scratch.table(placed.select("*", *prints), "placed")
+    # equal vectors of a label are one class, whose node is its least id
+    classes = placed.groupBy("label", "dim", "f1", "f2").agg(F.min("id").alias("c_node"), F.count("*").alias("weight"))
+    classes = scratch.table(classes.select(F.col("label").alias("c_label"), F.col("dim").alias("c_dim"), F.col("f1").alias("c_f1"), F.col("f2").alias("c_f2"), "c_node", "weight"), "classes")
+    same = (F.col("label") == F.col("c_label")) & (F.col("dim") == F.col("c_dim")) & (F.col("f1") == F.col("c_f1")) & (F.col("f2") == F.col("c_f2"))
+    own = placed.join(classes, same & (F.col("id") == F.col("c_node"))).dropDuplicates(["label", "dim", "f1", "f2", "id"])
+    # an id may stand for several vectors, so a class has a number of its own
+    own = own.select(F.monotonically_increasing_id().alias("node"), "c_node", "label", "dim", "vector", "places", "weight", "f1", "f2")
+    own = scratch.table(own, "own")
+    cells = scratch.table(own.select("node", "dim", "places").mapInArrow(_cells(c), "node long, cells array<int>"), "cells")
+    key = own.select(F.col("node").alias("o_node"), "label", "dim")
+    wide = cells.join(key, F.col("node") == F.col("o_node")).select("node", "label", "dim", F.posexplode("cells").alias("table", "cell"))
+    wide = scratch.table(wide, "wide")
+    group = ["label", "dim", "table", "cell"]
+    sizes = wide.groupBy(*group).agg(F.count("*").alias("size")).where("size > 1")
+    sizes = scratch.table(sizes.select(*[F.col(g).alias(f"s_{g}") for g in group], "size"), "sizes")
     chunks = F.ceil(F.col("size") / c.block).cast("int")
-    long = long.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    long = long.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other", "size")
-    found = long.groupBy("label", "table", "cell", "i", "j").applyInArrow(_block(c), "id long, links long, root long")
+    slim = wide.join(sizes, (F.col("label") == F.col("s_label")) & (F.col("dim") == F.col("s_dim")) & (F.col("table") == F.col("s_table")) & (F.col("cell") == F.col("s_cell")))
+    slim = slim.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    slim = slim.select(*group, "node", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    full = own.select(F.col("node").alias("o_node"), F.col("vector"), "places", "weight")
+    long = slim.join(full, F.col("node") == F.col("o_node")).drop("o_node")
+    found = long.groupBy(*group, "i", "j").applyInArrow(_block(c, kind), "node long, links long, root long")
     found = scratch.table(found, "found")
-    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    counts = scratch.table(counts.withColumnRenamed("id", "l_id"), "counts")
-    roots = scratch.table(connect(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch), "roots")
-    out = rows.select("id").join(counts, F.col("id") == F.col("l_id"), "left").join(roots, F.col("id") == F.col("node"), "left")
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    names = own.select(F.col("node").alias("o_node"), "c_node", F.col("label").alias("o_label"), F.col("dim").alias("o_dim"), F.col("f1").alias("o_f1"), F.col("f2").alias("o_f2"))
+    counts = counts.join(names, F.col("node") == F.col("o_node")).select("o_label", "o_dim", "o_f1", "o_f2", "links")
+    counts = scratch.table(counts, "counts")
+    of_a, of_b = (own.select(F.col("node").alias(f"{n}_node"), F.col("c_node").alias(n)) for n in ("a", "b"))
+    stars = found.where("node != root").join(of_a, F.col("node") == F.col("a_node")).join(of_b, F.col("root") == F.col("b_node")).select("a", "b")
+    # each row with its class; then links between classes, and rows with their class's least id
+    member = placed.select("id", "label", "dim", "f1", "f2").join(classes, same).select("id", "label", "dim", "f1", "f2", "c_node", "weight")
+    linked = (F.col("label") == F.col("o_label")) & (F.col("dim") == F.col("o_dim")) & (F.col("f1") == F.col("o_f1")) & (F.col("f2") == F.col("o_f2"))
+    member = member.join(counts, linked, "left").select("id", "c_node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    member = scratch.table(member, "member")
+    edges = stars.unionByName(member.where("id != c_node").select(F.col("id").alias("a"), F.col("c_node").alias("b")))
+    roots = scratch.table(connect(edges, scratch), "roots")
+    alone = table.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    ok = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(_links(F.col("v")), F.lit(False))
+    out = member.select("id", "links").unionByName(alone.where(~ok).select("id", F.lit(0).cast("long").alias("links")))
+    out = out.join(roots, F.col("id") == F.col("node"), "left")
     component = F.coalesce("root", "id")
     return out.select(
-        F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"),
-    )
+        F.col("id").alias(id_col), F.col("links").cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
+    )
+
+
+def _links(v: Column) -> Column:
+    """Whether a vector can link, as :func:`usable` has it."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return (F.size(v) > 0) & F.forall(v, finite) & F.exists(v, lambda x: x != 0)

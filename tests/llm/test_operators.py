@@ -104,19 +104,20 @@ def test_embeddings_equal_brute_force(spark, scratch):
     x[180:220] = x[:40] * 3 + 0.02 * r.standard_normal((40, 24))
     rows = [(i, [float(v) for v in x[i]], i % 2 if i < 100 else 0, 1) for i in range(300)]
     rows += [(300, None, 0, 1), (301, [0.0] * 24, 0, 1), (302, [float("nan")] * 24, 0, 1), (303, rows[0][1], None, 1), (304, [], 0, 1), (305, [None] * 24, 0, 1), (306, [1.0, 2.0], 0, 1), (307, [1e200, 2e200], 0, 1)]
+    rows += [(None, rows[0][1], 0, 1), (400, rows[0][1], 0, 1), (401, rows[0][1], 0, 1), (401, rows[0][1], 0, 1), (402, rows[3][1], 1, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, cell int")
-    got = {q["vec_id"]: q for q in embeddings.near_duplicates(df, scratch, embeddings.Counting(block=16)).collect()}
-    links = []
-    y = x / np.linalg.norm(x, axis=1)[:, None]
-    for a in range(300):
+    got = embeddings.near_duplicates(df, scratch, embeddings.Counting(block=16)).collect()
+    assert len(got) == len(rows)
+    links, n = [], [0] * len(rows)
+    unit = [None if i is None or l is None or not v or None in v or not np.isfinite(v).all() or not any(v) else (np.array(v) / max(map(abs, v))) / np.linalg.norm(np.array(v) / max(map(abs, v))) for i, v, l, _ in rows]
+    for a in range(len(rows)):
         for b in range(a):
-            if rows[a][2] == rows[b][2] and y[a] @ y[b] >= 0.98:
-                links.append((a, b))
-    links.append((306, 307))
-    want, n = brute.components(got, links), Counter(i for link in links for i in link)
+            if unit[a] is not None and unit[b] is not None and len(unit[a]) == len(unit[b]) and rows[a][2] == rows[b][2] and unit[a] @ unit[b] >= 0.98:
+                links.append((rows[a][0], rows[b][0]))
+                n[a], n[b] = n[a] + 1, n[b] + 1
+    want = brute.components([q[0] for q in rows if q[0] is not None], links)
     assert len(links) > 3000
-    assert {i: q["n_links"] for i, q in got.items()} == {i: n[i] for i in got}
-    assert {i: q["component_id"] for i, q in got.items()} == want
+    assert Counter((q["vec_id"], q["n_links"], q["component_id"]) for q in got) == Counter((q[0], m, want.get(q[0])) for q, m in zip(rows, n, strict=True))
     assert embeddings.near_duplicates(df.limit(0), scratch).count() == 0
 
 
