@@ -32,6 +32,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,7 @@ class Counting:
     dims: int = 10
     cell: float = 1.4
     block: int = 512
+    together: int = 4096
     seed: int = 11
 
     @property
@@ -72,9 +74,12 @@ class Counting:
         return m
 
 
+_APART = 1 << 20  # what separates the places of two cells
+_PAIRS = 1 << 16  # candidates at once
 STEP = 512  # places on a line are counted in 1 / STEP
 
 
+@cache
 def directions(dim: int, c: Counting) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(directions, the lines of each table, the shift of each table and line)."""
     rng = np.random.default_rng([c.seed, dim])
@@ -172,22 +177,24 @@ def _block(c: Counting, kind: type):
         take = lambda name, kind: np.frombuffer(b"".join(t[name].to_pylist()), kind).reshape(len(ids), -1)
         x, places = _units(take("vector", kind).astype(np.float64)), take("places", np.int16).astype(np.int32)
         cells = cells_of(places, dim, c)
-        # the first line in sorted order; a chunk is compared with itself or with another
+        # the first line in sorted order, cell by cell; a chunk is compared with itself or with another
         line = table % c.lines
-        order = np.argsort(places[:, line], kind="stable")
-        ids, chunk, weight, x, places, cells = (v[order] for v in (ids, chunk, weight, x, places, cells))
+        place = np.unique(t["cell"].to_numpy(), return_inverse=True)[1].astype(np.int64) * _APART + places[:, line]
+        order = np.argsort(place, kind="stable")
+        ids, chunk, weight, x, places, cells, place = (v[order] for v in (ids, chunk, weight, x, places, cells, place))
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        at = places[right, line]
-        lo = np.searchsorted(at, places[left, line] - window, "left")
-        hi = np.searchsorted(at, places[left, line] + window, "right")
+        lo = np.searchsorted(place[right], place[left] - window, "left")
+        hi = np.searchsorted(place[right], place[left] + window, "right")
+        if i == j:
+            lo = np.maximum(lo, np.arange(len(left)) + 1)  # each pair once
         collides = lambda q, o, k: np.abs(places[q, k] - places[o, k]) <= window
         links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for s in range(0, len(left), 64):
-            n = hi[s : s + 64] - lo[s : s + 64]
-            q = np.repeat(left[s : s + 64], n)
-            o = right[np.repeat(lo[s : s + 64], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            if i == j:
-                q, o = q[q < o], o[q < o]
+        upto = np.concatenate([[0], np.cumsum(np.maximum(hi - lo, 0))])
+        cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] + _PAIRS, _PAIRS)))
+        for s, to in zip(cuts[:-1], cuts[1:], strict=True):
+            n = np.maximum(hi[s:to] - lo[s:to], 0)
+            q = np.repeat(left[s:to], n)
+            o = right[np.repeat(lo[s:to], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
             count = np.ones(len(q), np.int32)
             for done, k in enumerate([k for k in range(c.lines) if k != line], start=2):
                 count += collides(q, o, k)
@@ -241,13 +248,19 @@ def near_duplicates(
     group = ["label", "dim", "table", "cell"]
     sizes = wide.groupBy(*group).agg(F.count("*").alias("size")).where("size > 1")
     sizes = scratch.table(sizes.select(*[F.col(g).alias(f"s_{g}") for g in group], "size"), "sizes")
+    # small cells of a table are worked off together, about ``together`` rows at once; large ones in blocks
+    tables = sizes.groupBy("s_label", "s_dim", "s_table").agg(F.ceil(F.sum("size") / c.together).alias("parts"))
+    tables = scratch.table(tables.select(*[F.col(f"s_{g}").alias(f"t_{g}") for g in group[:3]], "parts"), "tables")
     chunks = F.ceil(F.col("size") / c.block).cast("int")
     slim = wide.join(sizes, (F.col("label") == F.col("s_label")) & (F.col("dim") == F.col("s_dim")) & (F.col("table") == F.col("s_table")) & (F.col("cell") == F.col("s_cell")))
+    slim = slim.join(tables, (F.col("label") == F.col("t_label")) & (F.col("dim") == F.col("t_dim")) & (F.col("table") == F.col("t_table")))
+    part = F.when(F.col("size") <= c.block, F.pmod(F.xxhash64("cell"), F.col("parts"))).otherwise(F.col("cell").cast("long") + (1 << 40))
+    slim = slim.withColumn("part", part)
     slim = slim.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    slim = slim.select(*group, "node", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    slim = slim.select(*group, "part", "node", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     full = own.select(F.col("node").alias("o_node"), F.col("vector"), "places", "weight")
     long = slim.join(full, F.col("node") == F.col("o_node")).drop("o_node")
-    found = long.groupBy(*group, "i", "j").applyInArrow(_block(c, kind), "node long, links long, root long")
+    found = long.groupBy("label", "dim", "table", "part", "i", "j").applyInArrow(_block(c, kind), "node long, links long, root long")
     found = scratch.table(found, "found")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     names = own.select(F.col("node").alias("o_node"), "c_node", F.col("label").alias("o_label"), F.col("dim").alias("o_dim"), F.col("f1").alias("o_f1"), F.col("f2").alias("o_f2"))
