@@ -2,7 +2,8 @@
 
 Counting. Each task hashes the words of its texts and counts unigrams and bigrams of a batch in
 sorted arrays; these are cut by the upper bits of the context word's hash into as many buckets as
-there are shuffle partitions (the next power of two), merged bucket by bucket, and written as the trie's shards. Every word
+there are shuffle partitions, or one for each 64 MB of text if these are more (the next power of two), merged bucket by bucket, and written
+as the trie's shards. Every word
 that occurs is kept; bigrams are kept from ``least`` occurrences on, and the weight of the others goes to the back-off.
 
 Model. Absolute discounting: P(w | c) = (n(c, w) - D) / n(c) + back(c) P(w), where back(c) is all weight
@@ -312,10 +313,15 @@ class Model:
     total: int
 
 
-def train(texts: DataFrame, scratch: Scratch, discount: float = 0.6, least: int = 2, text_col: str = "text") -> Model:
+def train(
+    texts: DataFrame, scratch: Scratch, discount: float = 0.6, least: int = 2, shard_bytes: int = 1 << 26, text_col: str = "text"
+) -> Model:
     spark = texts.sparkSession
+    # so many that the counts of a shard, which one task merges, do not grow with the corpus
+    size = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // shard_bytes)
     # a power of two, as shards are cut by the upper bits of a hash
-    shards = 1 << max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    shards = 1 << max(1, (wanted - 1).bit_length())
     shape, folder = Shape(shards, discount, least), scratch.place("trie")
     counts = texts.select(F.col(text_col).alias("t")).mapInArrow(_count_batches(shape), "shard int, counts binary")
     merged = counts.groupBy("shard").applyInArrow(_merge(folder, shape), "shard int, words long, tokens long")
