@@ -42,7 +42,7 @@ from sparkwire.llm.wordhash import slices
 U = np.uint64
 END = U(0x6A09E667F3BCC908)
 STEP = 4096.0
-_NONE = np.uint16(65535)
+_HELD = 4_000_000  # bigram counts that a counting task holds before it sends them off, 24 bytes each
 
 
 @dataclass(frozen=True)
@@ -93,20 +93,26 @@ def _count_batches(shape: Shape):
                 small = m[y].astype(np.uint16) if len(m[y]) and m[y].max() < 65536 else m[y].astype(np.uint64)
                 yield s, w[x], n[x].astype(np.uint32) if n[x].max() < 1 << 32 else n[x], ctx, reps.astype(np.uint32), b[y], small
 
+    def batches_of(uni: list, bi: list) -> Iterator[pa.RecordBatch]:
+        for s, *arrays in rows(uni, bi):
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_pack(arrays)], pa.binary())], names=["shard", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uni, bi, held = [], [], 0
         for batch in batches:
-            uni, bi = [], []
-            for _, _, t in slices(batch.column(0), lower=True):
+            for _, _, t in slices(batch.column(0), lower=True, most_bytes=1 << 21):
                 words, starts = sequence(t)
                 before = np.empty_like(words)
                 before[1:] = words[:-1]
                 before[starts[:-1]] = END
                 uni.append(np.unique(words, return_counts=True))
                 bi.append(_pair_counts(before, words, np.ones(len(words), np.int64)))
-            if not uni:
-                continue
-            for s, *arrays in rows(uni, bi):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_pack(arrays)], pa.binary())], names=["shard", "counts"])
+                held += len(bi[-1][0])
+                if held > _HELD:
+                    yield from batches_of(uni, bi)
+                    uni, bi, held = [], [], 0
+        if uni:
+            yield from batches_of(uni, bi)
 
     return run
 
