@@ -174,6 +174,11 @@ def _decoded(prefix: str, arrays: dict[str, np.ndarray]) -> EliasFano:
     return EliasFano({k: arrays[prefix + k] for k in ("meta", "upper", "ones", "lower")})
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """The same numbers, none negative, in as few bytes as hold them."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
 def _quantised(p: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         return np.minimum(np.round(-np.log10(np.maximum(p, 1e-300)) * STEP), 65534).astype(np.uint16)
@@ -195,7 +200,7 @@ def _merge(folder: str, shape: Shape):
         bits = max(1, (shape.shards - 1).bit_length())
         inside = w & (U(0xFFFFFFFFFFFFFFFF) >> U(bits))
         _store(f"{folder}/words-{s:05d}", {**_coded("w", encode(inside, 1 << (64 - bits))), "n": n})
-        _store(f"{folder}/pairs-{s:05d}", {"a": np.searchsorted(w, a[kept]), "b": b[kept], "m": m[kept], "c": context})
+        _store(f"{folder}/pairs-{s:05d}", {"a": _narrow(np.searchsorted(w, a[kept])), "b": b[kept], "m": _narrow(m[kept]), "c": _narrow(context)})
         return pa.table({"shard": pa.array([s], pa.int32()), "words": pa.array([len(w)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
 
     return run
@@ -236,7 +241,7 @@ def _grow(folder: str, shape: Shape, sizes: tuple[int, ...], total: int):
         for batch in batches:
             for s in batch.column(0).to_pylist():
                 p = _mapped(f"{folder}/pairs-{s:05d}")
-                a, b, m, context = p["a"], p["b"], p["m"], p["c"]
+                a, b, m, context = p["a"].astype(np.int64), p["b"], p["m"].astype(np.int64), p["c"].astype(np.int64)
                 different, inverse = np.unique(b, return_inverse=True)
                 index, count = words.find(different)
                 unigram = np.maximum(count[inverse] - shape.discount, 0) / total
