@@ -84,8 +84,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return int(any(a == "FAIL" for a, _, _ in rows))
         if args.status:
             current, runs = store.current(), store.runs()
-            for r in [] if current is None else reports.status_counts(current).orderBy("place").collect():
-                print(f"{r['status']:<18} {r['n']}")
+            counts = [] if current is None else reports.status_counts(current).orderBy("place").collect()
+            print("\n".join(f"{r['status']:<18} {r['n']}" for r in [*counts, {"status": "total", "n": sum(r["n"] for r in counts)}]))
             for r in [] if current is None else current.where(state.unknown_outcome()).select("id").orderBy("id").collect():
                 print(f"unknown outcome: {r['id']}")
             for r in [] if runs is None else reports.recent_runs(runs).collect():
@@ -116,11 +116,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             store.start(run_id, "dry-run", now)
             answers = spark.read.schema("original_url string, answer string").json(args.answers) if args.answers else spark.createDataFrame([], "original_url string, answer string")
             run = curate.run(docs, answers, store.read("articles"), now, run_id, args.limit or s.max_articles_per_run, hours)
-            store.append(f"staged/{run_id}", run.articles.drop("card"))
-            staged = spark.read.parquet(f"{s.database_path}/staged/{run_id}")
-            store.append("events", curate.events_of(staged, run_id, now))
-            store.append("articles", staged)
-            summary = reports.run_summary(run.classes, staged).first().asDict()
+            # articles and their events become visible together
+            made = store.commit(articles=run.articles.drop("card"), events=lambda done: curate.events_of(done["articles"], run_id, now))
+            summary = reports.run_summary(run.classes, made["articles"]).first().asDict()
             store.finish(run_id, "dry-run", now, now, "ok", summary)
             print(reports.format_summary(summary))
         finally:

@@ -50,7 +50,7 @@ def run(documents: DataFrame, answers: DataFrame, store: DataFrame | None, now:
     cutoff = F.to_timestamp(F.lit(now)) - F.expr(f"interval {max_age_hours} hours")
     unique = S.across_feeds(items)
     if store is not None:
-        unique = unique.join(store.select("url_hash", F.lit(True).alias("_known")), "url_hash", "left")
+        unique = unique.join(store.select("url_hash").distinct().withColumn("_known", F.lit(True)), "url_hash", "left")
     else:
         unique = unique.withColumn("_known", F.lit(None).cast("boolean"))
     classes = unique.withColumn("class", schedule.funnel(F.col("published_at"), cutoff, F.col("_known").isNotNull())).drop("_known")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -25,7 +26,8 @@ from sparkwire.functions import text as X
 from sparkwire.functions import urls as N
 from sparkwire.operators.dedup import first_wins
 
-MAX_FEED_BYTES, MAX_SECONDS, ATTEMPTS, PARALLEL = 10 * 1024 * 1024, 60, 3, 8
+MAX_FEED_BYTES, MAX_SECONDS, ATTEMPTS, PARALLEL, MAX_WAIT = 10 * 1024 * 1024, 60, 3, 8, 30.0
+TOO_LARGE = "feed is larger than 10 MB"
 TRANSIENT_STATUS = (429, 500, 502, 503, 504)
 REGISTRY = "name string, url string, enabled boolean, ordinal int"
 DOCUMENTS = "feed string, ordinal int, url string, content binary, fetch_error string"
@@ -111,13 +113,17 @@ def may_redirect(origin: str, to: str, hops: int) -> bool:
     return hops <= 5 and not (origin.startswith("https:") and to.startswith("http:"))
 
 
-def fetched(feeds: DataFrame, get: Callable[[str], tuple[int, dict, bytes]]) -> DataFrame:
+def fetched(feeds: DataFrame, get: Callable[[str], tuple[int, dict, bytes]], wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> DataFrame:
     """Documents of the enabled feeds, a task per feed up to PARALLEL at once. ``get`` is the transport; failures
-    become rows with an error, transient ones are tried ATTEMPTS times."""
+    become rows with an error. Transient ones are tried ATTEMPTS times, after 1, 2, 4 ... seconds, MAX_WAIT at most; what took
+    more than MAX_SECONDS is refused."""
     enabled = feeds.where("enabled").select("name", "ordinal", "url")
 
     def one(url: str) -> tuple[bytes | None, str | None]:
         for attempt in range(1, ATTEMPTS + 1):
+            if attempt > 1:
+                wait(min(MAX_WAIT, 2.0 ** (attempt - 2)))
+            began = clock()
             try:
                 status, headers, body = get(url)
             except TimeoutError:
@@ -134,7 +140,9 @@ def fetched(feeds: DataFrame, get: Callable[[str], tuple[int, dict, bytes]]) ->
                 if headers.get("content-encoding", "").strip().lower() not in ("", "identity"):
                     return None, "server sent a compressed feed"
                 if len(body) > MAX_FEED_BYTES:
-                    return None, "feed is larger than 10 MB"
+                    return None, TOO_LARGE
+                if clock() - began > MAX_SECONDS:
+                    return None, f"feed took more than {MAX_SECONDS} seconds"
                 return body, None
         return None, error
 
@@ -147,13 +155,23 @@ def fetched(feeds: DataFrame, get: Callable[[str], tuple[int, dict, bytes]]) ->
 
 
 def from_files(spark: SparkSession, path: str, feeds: DataFrame) -> DataFrame:
-    """Documents from files that are named like the last part of a feed's url."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_FEED_BYTES)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    mine = feeds.where("enabled").withColumn("file", F.element_at(F.split("url", "/"), -1))
-    out = mine.join(files, "file", "left")
-    error = F.when(F.col("content").isNull(), "HTTP 404 from feed server")
-    return out.select(F.col("name").alias("feed"), "ordinal", "url", "content", error.alias("fetch_error"))
+    """Documents from files. A feed's file is called as the feed is, in small letters with hyphens for what is neither letter
+    nor digit, or, if no other feed's url ends so, like the last part of its url."""
+    files = spark.read.format("binaryFile").load(path)
+    large = F.col("length") > MAX_FEED_BYTES
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.when(~large, F.col("content")).alias("content"), large.alias("large"))
+    slug = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}]+", "-"), F.lit("-"))
+    ending = F.element_at(F.split("url", "/"), -1)
+    mine = feeds.where("enabled").withColumns({"slug": slug(F.col("name")), "ending": ending})
+    only = mine.groupBy("ending").agg(F.count("*").alias("n")).where("n = 1").select(F.col("ending").alias("only"))
+    mine = mine.join(only, F.col("ending") == F.col("only"), "left")
+    by_name = files.select(slug(F.regexp_replace("file", r"\.[^.]*$", "")).alias("stem"), F.col("content").alias("n_content"), F.col("large").alias("n_large"))
+    by_name = by_name.groupBy("stem").agg(F.first("n_content").alias("n_content"), F.first("n_large").alias("n_large"))
+    out = mine.join(by_name, F.col("slug") == F.col("stem"), "left").join(files, F.col("only") == F.col("file"), "left")
+    named = F.col("stem").isNotNull()
+    content, large = F.when(named, F.col("n_content")).otherwise(F.col("content")), F.coalesce(F.when(named, F.col("n_large")).otherwise(F.col("large")), F.lit(False))
+    error = F.when(large, TOO_LARGE).when(content.isNull(), "HTTP 404 from feed server")
+    return out.select(F.col("name").alias("feed"), "ordinal", "url", content.alias("content"), error.alias("fetch_error"))
 
 
 def _local(tag: str) -> str:

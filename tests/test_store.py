@@ -54,8 +54,73 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert "duplicate: 2" in capsys.readouterr().out
     assert run("--status") == 0
     out = capsys.readouterr().out
-    assert out.splitlines()[:2] == ["REJECTED           1", "READY_FOR_REVIEW   1"] and out.count("dry-run ok") == 2
+    assert out.splitlines()[:3] == ["REJECTED           1", "READY_FOR_REVIEW   1", "total              2"] and out.count("dry-run ok") == 2
     assert run("--doctor") == 0
     assert run("--publish") == 3 and run("--publish", "--ids", "x") == 1 and run("--ids", "1") == 1 and run("--limit", "0") == 1
     assert run("--resolve-unknown", "1") == 1 and run("--resolve-unknown", "1", "--not-posted") == 1
     assert Store(spark, str(tmp_path / "db")).current().count() == 2
+
+
+def test_one_run_gets_the_lease(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def ask(i):
+        try:
+            Lease(str(tmp_path)).acquire(f"r{i}", datetime(2026, 1, 1))
+            return True
+        except LockHeld:
+            return False
+
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(ask, range(40))) == 1
+
+
+def test_a_commit_is_all_or_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    one = spark.range(3)
+
+    def fails(done):
+        assert done["a"].count() == 3
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        store.commit(a=one, b=fails)
+    assert store.read("a") is None and store.read("b") is None
+    made = store.commit(a=one, b=lambda done: done["a"].where("id > 0"))
+    assert store.read("a").count() == 3 and store.read("b").count() == 2 == made["b"].count()
+
+
+def test_feed_files_are_told_apart(spark, tmp_path, monkeypatch):
+    from sparkwire.sources import feeds as S
+
+    monkeypatch.setattr(S, "MAX_FEED_BYTES", 50)
+    for name, n in (("alpha-news.xml", 10), ("rss", 20), ("only.xml", 30), ("big.xml", 60)):
+        (tmp_path / name).write_bytes(b"x" * n)
+    rows = [("Alpha News", "https://a.example/rss", True, 0), ("Beta", "https://b.example/rss", True, 1), ("Gamma", "https://c.example/only.xml", True, 2), ("Big", "https://d.example/feed", True, 3)]
+    got = {r["feed"]: (r["content"] and len(r["content"]), r["fetch_error"]) for r in S.from_files(spark, str(tmp_path), spark.createDataFrame(rows, S.REGISTRY)).collect()}
+    assert got == {"Alpha News": (10, None), "Beta": (None, "HTTP 404 from feed server"), "Gamma": (30, None), "Big": (None, S.TOO_LARGE)}
+
+
+def test_retries_wait_and_slow_feeds_are_refused(spark, tmp_path):
+    from sparkwire.sources import feeds as S
+
+    log = str(tmp_path / "waits")
+
+    def get(url):
+        return (503, {}, b"") if "down" in url else (200, {}, b"x")
+
+    def wait(seconds):
+        with open(log, "a") as f:
+            f.write(f"{seconds}\n")
+
+    rows = spark.createDataFrame([("Down", "https://a.example/down", True, 0)], S.REGISTRY)
+    assert S.fetched(rows, get, wait).first()["fetch_error"] == "HTTP 503 from feed server"
+    assert open(log).read().split() == ["1.0", "2.0"]
+    slow = spark.createDataFrame([("Slow", "https://a.example/x", True, 0)], S.REGISTRY)
+    now = [0.0]
+
+    def clock():
+        now[0] += 61
+        return now[0]
+
+    assert S.fetched(slow, get, wait, clock).first()["fetch_error"] == "feed took more than 60 seconds"
