@@ -450,6 +450,34 @@ def decision_contract(spark, sf):
     return rules.verdict(v).select("k", "rule")
 
 
+#: One text per rule: (category, url from the article's, headline, what ends the caption's first sentence).
+_PLANT = "Robot maker opens a new plant near the old town"
+_CASES = [
+    (_GOOD := sorted(vocab.CATEGORY_ALIASES)[0], True, _PLANT, ""), (_GOOD, False, _PLANT, ""), (_GOOD, True, "Sorry, the system prompt hides what robots do in town", ""),
+    (_GOOD, True, _PLANT, "\u200b"), (_GOOD, True, "Robot maker says you should buy shares of the plant", ""), ("Gossip", True, _PLANT, ""), (_GOOD, True, _PLANT, ". Sell now"),
+]
+_CASE = f"doc_id % {len(_CASES)}"
+_CAPTION = "' writes about a robot maker that opens a plant near the old town this week"
+_pick = lambda k: f"[{', '.join(chr(39) + str(c[k]).replace(chr(39), chr(39) * 2) + chr(39) for c in _CASES)}][CAST({_CASE} + 1 AS INTEGER)]"
+
+
+@query(f"""WITH a AS (SELECT doc_id, {_pick(0)} AS category, {_pick(1)} = 'True' AS own, {_pick(2)} AS h, coalesce(source, 'desk') || {_CAPTION}' || {_pick(3)} || '. #robots #plants' AS c FROM documents)
+  SELECT doc_id, CASE WHEN category NOT IN ({quoted(sorted(vocab.CATEGORY_ALIASES))}) THEN 'V06' WHEN NOT own THEN 'V07' WHEN regexp_matches(h, '{vocab.LEAK}') OR regexp_matches(c, '{vocab.LEAK}') THEN 'V08'
+    WHEN regexp_matches(c, '\\p{{Cf}}') THEN 'V19' WHEN regexp_matches(h, '{vocab.ADVICE.replace("'", "''")}') OR regexp_matches(c, '{vocab.ADVICE.replace("'", "''")}') THEN 'V26' END AS rule FROM a""")
+def answer_rules(spark, sf):
+    pick = lambda k: F.element_at(F.array(*[F.lit(str(c[k])) for c in _CASES]), (F.col("doc_id") % len(_CASES) + 1).cast("int"))
+    own = F.concat(F.lit("https://doc.example/"), F.col("doc_id"))
+    caption = F.concat(F.coalesce("source", F.lit("desk")), F.lit(_CAPTION[1:]), pick(3), F.lit(". #robots #plants"))
+    fields = [
+        F.lit(True).alias("is_relevant"), pick(0).alias("category"), pick(2).alias("catchy_headline"), caption.alias("facebook_caption"),
+        F.when(pick(1) == "True", own).otherwise(F.lit("https://other.example/")).alias("original_url"), F.lit("").alias("rejection_reason"),
+    ]
+    d = read(spark, sf, "documents").select(
+        "doc_id", F.to_json(F.struct(*fields)).alias("answer"), F.coalesce("source", F.lit("desk")).alias("title"), F.lit("").alias("summary"), F.lit("doc").alias("source_name"), own.alias("original_url")
+    )
+    return rules.verdict(d).select("doc_id", "rule")
+
+
 # --- sink and layout ----------------------------------------------------------------------------------------------
 @query("""WITH r AS (SELECT event_id, CAST([200, 200, 500, 400, 403, 429, 302][CAST(event_id % 7 + 1 AS INTEGER)] AS INTEGER) AS status, user_id % 3 <> 0 AS has_error, CAST([1, 4, 10, 100, 190, 250, 613][CAST(user_id % 7 + 1 AS INTEGER)] AS INTEGER) AS code, event_id % 2 = 0 AS amb FROM events),
   c AS (SELECT *, status BETWEEN 200 AND 299 AS success, status = 429 OR code IN (4, 17, 32, 613, 80001) AS limited, code IN (102, 190, 10) OR code BETWEEN 200 AND 299 AS auth, code IN (1, 2) AS transient FROM r)
