@@ -114,6 +114,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         lease.acquire(run_id, datetime.fromisoformat(now))
         try:
             store.start(run_id, "dry-run", now)
+            store.recover(run_id, now)
             answers = spark.read.schema("original_url string, answer string").json(args.answers) if args.answers else spark.createDataFrame([], "original_url string, answer string")
             run = curate.run(docs, answers, store.read("articles"), now, run_id, args.limit or s.max_articles_per_run, hours)
             # articles and their events become visible together

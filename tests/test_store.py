@@ -124,3 +124,17 @@ def test_retries_wait_and_slow_feeds_are_refused(spark, tmp_path):
         return now[0]
 
     assert S.fetched(slow, get, wait, clock).first()["fetch_error"] == "feed took more than 60 seconds"
+
+
+def test_interrupted_work_is_recovered(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.recover("r0", NOW)
+    at = datetime(2026, 1, 1)
+    log = [(1, "DISCOVERED", 1), (1, "ANALYZING", 2), (2, "DISCOVERED", 1), (2, "PUBLISHING", 5), (3, "DISCOVERED", 1), (3, "READY_FOR_REVIEW", 5)]
+    events = spark.createDataFrame([(i, "r1", None, s, None, k, at) for i, s, k in log], "article_id long, run_id string, from_status string, to_status string, stage string, step int, created_at timestamp")
+    store.commit(articles=spark.createDataFrame([(1,), (2,), (3,)], "id long"), events=events)
+    for _ in range(2):
+        store.recover("r2", NOW)
+        assert {r["id"]: (r["status"], r["error_stage"]) for r in store.current().collect()} == {1: ("DISCOVERED", None), 2: ("FAILED", "publish_unknown"), 3: ("READY_FOR_REVIEW", None)}
+    new = {r["article_id"]: (r["from_status"], r["to_status"]) for r in store.read("events").where("run_id = 'r2'").collect()}
+    assert new == {1: ("ANALYZING", "DISCOVERED"), 2: ("PUBLISHING", "FAILED")} and store.read("events").count() == 8
