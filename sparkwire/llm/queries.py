@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwire.llm import embeddings, html, lm, minhash, mixing, packing, quality, records, sharding, urls
+from sparkwire.llm import alignment, embeddings, html, lm, minhash, mixing, packing, quality, records, sharding, urls
 from sparkwire.llm.scratch import Scratch, table_path
 
 URL_RULES = (
@@ -76,6 +76,11 @@ def op10_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(_read(spark, sf_dir, "pages"), Scratch(spark, "op10"))
 
 
+def op11_segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return alignment.align(docs, Scratch(spark, "op11"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def oracle_sql() -> dict[str, str]:
     """No operator here is plain SQL but those that :mod:`sparkwire.llm.oracles` states."""
     from sparkwire.llm.oracles import SQL
