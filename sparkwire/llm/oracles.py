@@ -55,4 +55,25 @@ SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(c.root, e
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.node = e.vec_id
 """
 
-SQL: dict[str, str] = {"op1_minhash_near_dedup": _NEAR, "op2_collision_counting": _COSINE, "op8_source_mixing": _MIX}
+_CRC32 = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(CAST({c} AS VARCHAR)) + 1), lambda i: CAST(ord(substr(CAST({c} AS VARCHAR), i, 1)) AS BIGINT))),
+    lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), lambda z, i: xor(z >> 1, 3988292384 * (z & 1))))"""
+
+# Prefixes are whole lists of turns, compared as such; a node's subtree is every prefix that begins with its list.
+_TRIE = rf"""
+WITH o AS (SELECT conv_id AS c, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS turn,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, c - c % 5 AS base, xor({_CRC32.format(c="c")}, 4294967295) % 9 AS h FROM (SELECT DISTINCT c FROM o)),
+l AS (SELECT c, list(turn ORDER BY place) AS turns FROM o GROUP BY 1),
+b AS (SELECT h.c, list_concat(coalesce(x.turns, [])[1:h.h], l.turns[h.h + 1:]) AS path FROM h JOIN l ON l.c = h.c LEFT JOIN l x ON x.c = h.base),
+m AS (SELECT c, len(path) AS n, path[1:d] AS pre, d, len(path) = d AS is_end FROM b, LATERAL (SELECT unnest(range(0, len(path) + 1)) AS d)),
+n AS (SELECT pre, d, min(c) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE strlen(pre[-1].t) END AS bytes,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE is_end), '')) AS ends FROM m GROUP BY pre, d),
+k AS (SELECT x.*, (SELECT count(*) FROM n y WHERE y.d = x.d + 1 AND y.pre[1:x.d] = x.pre) AS n_children FROM n x),
+s AS (SELECT a.pre, a.d, sum(z.bytes * (z.n_convs - 1)) AS saved, count(*) FILTER (WHERE z.n_children = 0) AS leaves
+  FROM (SELECT pre, d, unnest(range(0, d + 1)) AS up, bytes, n_convs, n_children FROM k) z JOIN n a ON a.d = z.up AND a.pre = z.pre[1:z.up] GROUP BY 1, 2)
+SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, k.ends AS ends_sha256
+FROM k JOIN s ON s.d = k.d AND s.pre = k.pre LEFT JOIN n p ON p.d = k.d - 1 AND p.pre = k.pre[1:k.d - 1]
+"""
+
+SQL: dict[str, str] = {"op1_minhash_near_dedup": _NEAR, "op2_collision_counting": _COSINE, "op8_source_mixing": _MIX, "op12_prefix_trie": _TRIE}

@@ -36,6 +36,6 @@ def test_run(spark, tmp_path):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 14)]
     assert set(oracle_sql()) <= set(queries())
     assert len(corpus_pipeline.STAGES) == 4 and corpus_pipeline.ORACLE_SQL is None
