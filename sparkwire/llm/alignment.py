@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
 from hashlib import sha256
@@ -37,6 +36,7 @@ from sparkwire.llm.scratch import Scratch
 from sparkwire.llm.tokenids import cut_of
 
 BLOCK = 1 << 24
+_MANY_LINKS = 4096  # of one group; with more, equal pairs are summed up before they are written out
 _ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -137,7 +137,7 @@ def _coded(a: str, b: str) -> Callable:
         ids, sizes, codes, numbers, held = [], [], array("I"), _Numbers(), 0
 
         def block() -> pa.RecordBatch:
-            row = {"block": (task << 32) + done, "ids": ids, "sizes": sizes, "codes": zstandard.compress(codes.tobytes(), 3), "segments": list(numbers)}
+            row = {"block": (task << 32) + done, "ids": ids, "sizes": sizes, "codes": _pack(np.frombuffer(codes, np.uint32)), "segments": list(numbers)}
             kinds = {"block": pa.int64(), "ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "codes": pa.binary(), "segments": pa.list_(pa.string())}
             return pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in kinds.items()], list(kinds))
 
@@ -178,99 +178,133 @@ def _aligned(a: str, b: str) -> Callable:
     return rows
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers, compressed byte plane by byte plane: the high planes are almost empty."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3)
+
+
+def _unpack(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _sums(values: np.ndarray, codes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(values[codes], dtype=np.int64)])
     return np.diff(total[cuts])
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class _Groups:
+    """The alignments of a block's segments, read from their text all at once."""
+
+    def __init__(self, texts: pa.LargeStringArray):
+        n = len(texts)
+        bufs = texts.buffers()
+        at = np.frombuffer(bufs[1], np.int64)[texts.offset : texts.offset + n + 1]
+        data = np.frombuffer(bufs[2], np.uint8)[at[0] : at[-1]] if bufs[2] is not None else np.zeros(0, np.uint8)
+        at = at - at[0]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[at] = True
+        digit = (data >= 48) & (data <= 57)
+        starts = np.flatnonzero(digit & (edge[:-1] | ~np.concatenate([[False], digit[:-1]])))
+        ends = np.flatnonzero(digit & (edge[1:] | ~np.concatenate([digit[1:], [False]]))) + 1
+        ids, size = np.zeros(len(starts), np.int64), ends - starts
+        for j in range(int(size.max()) if len(size) else 0):
+            live = size > j
+            ids[live] = ids[live] * 10 + data[starts[live] + j] - 48
+        has = np.diff(at) > 0
+        segment = np.searchsorted(at, starts, "right") - 1
+        group = np.cumsum(data == ord(";"))[starts] + (np.cumsum(has) - has)[segment] if len(starts) else np.zeros(0, np.int64)
+        is_b = np.cumsum(data == ord("|"))[starts] > group if len(starts) else np.zeros(0, bool)
+        n_groups = int(group[-1]) + 1 if len(group) else 0
+        na, nb = (np.bincount(group[x], minlength=n_groups) for x in (~is_b, is_b))
+        first = np.cumsum(na + nb) - na - nb  # a group's ids of A come first, those of B after them
+        of = segment[first] if n_groups else np.zeros(0, np.int64)
+        links = na * nb
+        per_segment = lambda x: np.bincount(of, x, n).astype(np.int64)
+        self.n_a, self.n_b, self.n_groups, self.n_links = (per_segment(x) for x in (na, nb, np.ones(n_groups), links))
+        small = np.flatnonzero(links <= _MANY_LINKS)
+        each = np.repeat(small, links[small])
+        i = _ranges(np.zeros(len(small), np.int64), links[small])
+        pairs, places, times = [ids[first[each] + i // nb[each]] << 32 | ids[first[each] + na[each] + i % nb[each]]], [of[each]], [np.ones(len(each), np.int64)]
+        for g in np.flatnonzero(links > _MANY_LINKS):
+            (x, p), (y, q) = (np.unique(ids[lo : lo + k], return_counts=True) for lo, k in ((first[g], na[g]), (first[g] + na[g], nb[g])))
+            pairs.append((x[:, None] << 32 | y).ravel())
+            times.append((p[:, None] * q).ravel())
+            places.append(np.full(len(x) * len(y), of[g]))
+        pair, place, self.times = map(np.concatenate, (pairs, places, times))
+        order = np.argsort(place, kind="stable")
+        self.times = self.times[order]
+        #: The block's different pairs, the place of each link's pair among them, and where each segment's links begin.
+        self.pairs, self.pair_of = np.unique(pair[order], return_inverse=True)
+        self.ends = np.searchsorted(place[order], np.arange(n + 1))
+
+
 def _compose(blocks: pa.Table, placed: pa.Table) -> pa.Table:
-    """One block: its documents' numbers and digests, and its id pairs with the documents that hold them."""
+    """One block: its documents' numbers and digests, the id pairs that each holds linked, and how many documents hold each pair."""
     row = blocks.to_pylist()[0]
-    codes, sizes = np.frombuffer(zstandard.decompress(row["codes"]), np.uint32), np.array(row["sizes"], np.int64)
-    groups = [b""] * len(placed)
-    for no, g in zip(placed["no"].to_pylist(), placed["groups"].to_pylist(), strict=True):
-        groups[no] = None if g is None else g.encode()
-    numbers: dict[int, int] = _Numbers()
-    n = np.zeros((4, len(groups)), np.int64)
-    at, times, ends = array("I"), array("I"), array("Q", [0])
-    for k, g in enumerate(groups):
-        if g is not None:
-            found = [tuple([list(map(int, side.split(b","))) for side in x.split(b"|")]) for x in g.split(b";")]
-            n[:, k] = sum(len(x) for x, _ in found), sum(len(y) for _, y in found), len(found), sum(len(x) * len(y) for x, y in found)
-            links = Counter()
-            for x, y in found:
-                if len(x) == 1 == len(y):
-                    links[x[0] << 32 | y[0]] += 1
-                else:
-                    many = Counter(y)
-                    for i, p in Counter(x).items():
-                        for j, q in many.items():
-                            links[i << 32 | j] += p * q
-            at.extend(map(numbers.__getitem__, links))
-            times.extend(links.values())
-        ends.append(len(at))
+    codes, sizes = _unpack(row["codes"], np.uint32), np.array(row["sizes"], np.int64)
+    order = np.argsort(placed["no"].to_numpy())
+    texts = placed["groups"].combine_chunks().cast(pa.large_string()).take(pa.array(order)) if len(order) else pa.array([], pa.large_string())
+    bad = texts.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
+    found = _Groups(texts.fill_null(""))
     cuts = np.concatenate([[0], np.cumsum(sizes)])
-    bad = np.array([g is None for g in groups], np.int64) if groups else np.zeros(0, np.int64)
     good = (_sums(bad, codes, cuts) == 0) & (sizes > 0)
-    digests = [sha256(b";".join(map(groups.__getitem__, codes[cuts[i] : cuts[i + 1]].tolist()))).hexdigest() if good[i] else "" for i in range(len(sizes))]
-    sums = [np.where(good, _sums(v, codes, cuts), 0) for v in n]
-    at, ends = np.frombuffer(at, np.uint32).astype(np.int64), np.frombuffer(ends, np.uint64).astype(np.int64)
-    holds = _holding(codes, cuts, good, at, ends, len(numbers))
-    packed = [zstandard.compress(x.tobytes(), 3) for x in (at.astype(np.uint32), np.frombuffer(times, np.uint32), ends)]
-    keep = np.flatnonzero(holds)
-    pairs = np.fromiter(numbers, np.int64, len(numbers))
-    out = {"block": row["block"], "ids": row["ids"], "sizes": row["sizes"], "codes": row["codes"], "good": good, "digests": digests} | dict(zip(("n_a", "n_b", "n_groups", "n_links"), sums, strict=True))
-    out |= dict(zip(("at", "times", "ends"), packed, strict=True)) | {"places": keep, "pairs": pairs[keep], "docs": holds[keep]}
+    raw = texts.cast(pa.large_binary()).to_pylist()
+    digests = [sha256(b";".join(map(raw.__getitem__, codes[cuts[i] : cuts[i + 1]].tolist()))).hexdigest() if good[i] else "" for i in range(len(sizes))]
+    sums = {k: np.where(good, _sums(getattr(found, k), codes, cuts), 0) for k in ("n_a", "n_b", "n_groups", "n_links")}
+    held, times, many = _links(codes, cuts, good, found)
+    docs = np.bincount(held, minlength=len(found.pairs))
+    keep = np.flatnonzero(docs)
+    out = {"block": row["block"], "ids": row["ids"], "digests": digests, "held": _pack(held.astype(np.uint32)), "times": _pack(times), "many": many, "places": keep, "pairs": found.pairs[keep], "docs": docs[keep]} | sums
     return pa.Table.from_arrays([pa.array([out[f.name]], f.type) for f in _COMPOSED], schema=_COMPOSED)
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-
-
-def _holding(codes: np.ndarray, cuts: np.ndarray, good: np.ndarray, at: np.ndarray, ends: np.ndarray, n_pairs: int) -> np.ndarray:
-    """Of each pair, how many documents hold it; some documents at a time."""
-    out, first, n_docs = np.zeros(n_pairs, np.int64), 0, len(good)
+def _links(codes: np.ndarray, cuts: np.ndarray, good: np.ndarray, found: _Groups) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, times) of the different links of each document, one document after the other, and how many each has; some documents at a time."""
+    helds, weights, many_of, first, n_docs, ends = [], [], [], 0, len(good), found.ends
     while first < n_docs:
-        last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + (1 << 18), "right")) - 1)
-        last = min(last, n_docs)
-        doc = np.repeat(np.arange(first, last), np.diff(cuts[first : last + 1]))
-        code = codes[cuts[first] : cuts[last]].astype(np.int64)
-        ok = good[doc]
-        both = np.unique((doc[ok] - first) << 32 | code[ok])
+        last = min(max(first + 1, int(np.searchsorted(cuts, cuts[first] + (1 << 18), "right")) - 1), n_docs)
+        doc = np.repeat(np.arange(last - first), np.diff(cuts[first : last + 1]))
+        ok = good[first:last][doc]
+        both, again = np.unique(doc[ok] << 32 | codes[cuts[first] : cuts[last]][ok], return_counts=True)
         d, c = both >> 32, both & 0xFFFFFFFF
         many = ends[c + 1] - ends[c]
-        held = np.unique(np.repeat(d, many) << 32 | at[_ranges(ends[c], many)])
-        out += np.bincount(held & 0xFFFFFFFF, minlength=n_pairs)
+        link = _ranges(ends[c], many)
+        held, at = np.unique(np.repeat(d, many) << 32 | found.pair_of[link], return_inverse=True)
+        helds.append(held & 0xFFFFFFFF)
+        weights.append(np.bincount(at, np.repeat(again, many) * found.times[link], len(held)).astype(np.uint64))
+        many_of.append(np.bincount(held >> 32, minlength=last - first))
         first = last
-    return out
+    join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+    return join(helds, np.int64), join(weights, np.uint64), join(many_of, np.int64)
 
 
 _LONGS = pa.list_(pa.int64())
 _COMPOSED = pa.schema([
-    ("block", pa.int64()), ("ids", _LONGS), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("good", pa.list_(pa.bool_())), ("digests", pa.list_(pa.string())),
-    ("n_a", _LONGS), ("n_b", _LONGS), ("n_groups", _LONGS), ("n_links", _LONGS), ("at", pa.binary()), ("times", pa.binary()), ("ends", pa.binary()),
-    ("places", pa.list_(pa.int32())), ("pairs", _LONGS), ("docs", _LONGS),
+    ("block", pa.int64()), ("ids", _LONGS), ("digests", pa.list_(pa.string())), ("n_a", _LONGS), ("n_b", _LONGS), ("n_groups", _LONGS), ("n_links", _LONGS),
+    ("held", pa.binary()), ("times", pa.binary()), ("many", _LONGS), ("places", pa.list_(pa.int32())), ("pairs", _LONGS), ("docs", _LONGS),
 ])
 _COMPOSED_SQL = (
-    "block long, ids array<long>, sizes array<int>, codes binary, good array<boolean>, digests array<string>, n_a array<long>, n_b array<long>, n_groups array<long>, "
-    "n_links array<long>, at binary, times binary, ends binary, places array<int>, pairs array<long>, docs array<long>"
+    "block long, ids array<long>, digests array<string>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
+    "held binary, times binary, many array<long>, places array<int>, pairs array<long>, docs array<long>"
 )
 
 
 def _finish(blocks: pa.Table, counted: pa.Table) -> pa.Table:
     """One block's documents with the corpus-wide counts of their links."""
     row = blocks.to_pylist()[0]
-    unpack = lambda k, kind: np.frombuffer(zstandard.decompress(row[k]), kind)
-    codes, at, times, ends = unpack("codes", np.uint32), unpack("at", np.uint32), unpack("times", np.uint32).astype(np.int64), unpack("ends", np.int64)
-    n_pairs = int(at.max()) + 1 if len(at) else 0
-    count, best = np.zeros((2, n_pairs), np.int64)
+    held, times = _unpack(row["held"], np.uint32), _unpack(row["times"], np.uint64).astype(np.int64)
+    count, best = np.zeros((2, int(held.max()) + 1 if len(held) else 0), np.int64)
     place = counted["place"].to_numpy()
     count[place], best[place] = counted["n"].to_numpy(), counted["best"].to_numpy()
-    cuts, good = np.concatenate([[0], np.cumsum(row["sizes"], dtype=np.int64)]), np.array(row["good"], bool)
-    per = [np.diff(np.concatenate([[0], np.cumsum(v[at] * times)])[ends]) for v in (best, count)]
-    n_best, count_sum = (np.where(good, _sums(v, codes, cuts), 0) for v in per)
+    cuts = np.concatenate([[0], np.cumsum(row["many"], dtype=np.int64)])
+    n_best, count_sum = (np.diff(np.concatenate([[0], np.cumsum(v[held] * times)])[cuts]) for v in (best, count))
     return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), **{k: pa.array(row[k], pa.int64()) for k in ("n_a", "n_b", "n_groups", "n_links")}, "n_best": n_best, "count_sum": count_sum, "groups_sha256": pa.array(row["digests"], pa.string())})
 
 

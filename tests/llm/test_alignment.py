@@ -49,6 +49,21 @@ def test_documents(spark, texts, monkeypatch):
     assert rows(alignment.align(df, Scratch(spark, "t"), *PATHS)) == sorted(plain.align(docs), key=repr)
 
 
+def test_large_groups(spark, monkeypatch):
+    """Groups with many links are summed up pair by pair, with the same result."""
+    docs = [(i, t) for i, t in enumerate(["abcabc" * 400 + "é", "0" * 999, "x the y", "日本" * 50])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    p = alignment.pair(*PATHS)
+    texts = alignment.pa.array([g for _, t in docs for g in p.align(p.segments(t))], alignment.pa.large_string())
+    whole = alignment._Groups(texts)
+    monkeypatch.setattr(alignment, "_MANY_LINKS", 1)
+    split = alignment._Groups(texts)
+    assert whole.pairs.tolist() == split.pairs.tolist() and whole.n_links.tolist() == split.n_links.tolist()
+    totals = [[alignment.np.bincount(g.pair_of[lo:hi], g.times[lo:hi], len(g.pairs)).tolist() for lo, hi in zip(g.ends[:-1], g.ends[1:], strict=True)] for g in (whole, split)]
+    assert totals[0] == totals[1] and max(split.times) > 1
+    assert rows(alignment.align(df, Scratch(spark, "t"), *PATHS)) == sorted(plain.align(docs), key=repr)
+
+
 def test_many_blocks(spark, texts):
     """Blocks of one document, too, and documents cut into several steps, count the same."""
     docs = [(i, t) for i, t in enumerate(texts[:80])]
