@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwire.llm import alignment, embeddings, html, lm, minhash, mixing, packing, prefixes, quality, records, sharding, urls
+from sparkwire.llm import alignment, embeddings, html, lm, merkle, minhash, mixing, packing, prefixes, quality, records, sharding, urls
 from sparkwire.llm.scratch import Scratch, table_path
 
 URL_RULES = (
@@ -85,6 +85,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.trie(_read(spark, sf_dir, "conversations"), Scratch(spark, "op12"))
 
 
+def op13_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(_read(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 def oracle_sql() -> dict[str, str]:
     """No operator here is plain SQL but those that :mod:`sparkwire.llm.oracles` states."""
     from sparkwire.llm.oracles import SQL
