@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwire import vocab
+from sparkwire.operators.fold import replay
 
 EVENT = "event_id long, article_id long, run_id string, from_status string, to_status string, stage string, note string, created_at timestamp"
 
@@ -57,9 +58,17 @@ def invalid(events: DataFrame, article: str = "article_id", order: str = "event_
 
 
 def lost_updates(events: DataFrame) -> DataFrame:
-    """Events that started from a state which another, earlier event had already left (compare-and-set losers)."""
-    c = chained(events)
-    return c.where(F.col("before").isNotNull() & (F.col("before") != F.col("from_status")))
+    """Compare-and-set losers: refused events that name another state than the one they met."""
+    lost = replay(events).where(~F.col("accepted") & F.col("from_status").isNotNull())
+    return lost.where(~F.col("from_status").eqNullSafe(F.col("before")))
+
+
+def folded(events: DataFrame, article: str = "article_id", order: str = "event_id", **options) -> DataFrame:
+    """(article, status, error_stage, retry_count) after the accepted events of a log that may hold refused ones."""
+    held = replay(events, article, (order,), **options).where("accepted")
+    held = held.select(article, order, F.col("before").alias("from_status"), F.col("after").alias("to_status"), F.col("stage_after").alias("error_stage"))
+    now = latest(held, article, order, "to_status", "error_stage").withColumnRenamed("to_status", "status")
+    return now.join(retry_counts(held, article, order), article)
 
 
 def failed(article: Column, stage: Column, error: Column) -> Column:
