@@ -11,7 +11,7 @@ from sparkwire import vocab
 from sparkwire.functions import text as X
 from sparkwire.functions import urls as N
 from sparkwire.functions.layout import fit_headline
-from sparkwire.operators import dedup, publish, reports, rules, schedule, state
+from sparkwire.operators import dedup, fold, publish, reports, rules, schedule, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -235,6 +235,55 @@ def invalid_transitions(spark, sf):
     return state.invalid(event_log(spark, sf)).select("event_id", "article_id", "before", "to_status")
 
 
+#: Events as attempted changes of state: the kind and the id say which, every fourth names the state that its writer saw.
+_TRY = "[" + quoted(vocab.STATUSES) + "]"
+_ATTEMPT = f"""e AS (SELECT event_id, user_id AS article_id, ts,
+    CASE event_type WHEN 'signup' THEN 'DISCOVERED' WHEN 'view' THEN 'ANALYZING' WHEN 'error' THEN 'FAILED' WHEN 'click' THEN ['APPROVED', 'POST_CREATED', 'PUBLISHED'][CAST(event_id % 3 + 1 AS INTEGER)]
+      ELSE ['IMAGE_CREATED', 'READY_FOR_REVIEW', 'PUBLISHING'][CAST(event_id % 3 + 1 AS INTEGER)] END AS to_status,
+    CASE WHEN event_id % 4 = 0 THEN {_TRY}[CAST(event_id % 11 + 1 AS INTEGER)] END AS seen, [{quoted(vocab.STAGES)}][CAST(event_id % 6 + 1 AS INTEGER)] AS stage,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)"""
+_RESUMES = " OR ".join(f"(r.status = '{a}' AND r.stage = '{g}' AND e.to_status = '{b}')" for a, b, g in vocab.TRANSITIONS if g)
+_PLAINLY = quoted(f"{a}>{b}" for a, b, g in vocab.TRANSITIONS if g is None)
+_HOLDS = f"(e.seen IS NULL OR e.seen IS NOT DISTINCT FROM r.status) AND CASE WHEN r.status IS NULL THEN e.to_status = 'DISCOVERED' ELSE r.status || '>' || e.to_status IN ({_PLAINLY}) OR coalesce({_RESUMES}, false) END"
+_FOLD = f"""WITH RECURSIVE {_ATTEMPT},
+  r(article_id, k, event_id, before, accepted, status, stage) AS (SELECT DISTINCT article_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), false, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM e
+    UNION ALL SELECT e.article_id, e.k, e.event_id, r.status, {_HOLDS}, CASE WHEN {_HOLDS} THEN e.to_status ELSE r.status END, CASE WHEN {_HOLDS} THEN CASE WHEN e.to_status = 'FAILED' THEN e.stage END ELSE r.stage END
+    FROM r JOIN e ON e.article_id = r.article_id AND e.k = r.k + 1)"""
+
+
+def attempts(spark, sf) -> DataFrame:
+    e, i = read(spark, sf, "events"), F.col("event_id")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (i % n + 1).cast("int"))
+    kind = F.col("event_type")
+    to = (
+        F.when(kind == "signup", "DISCOVERED").when(kind == "view", "ANALYZING").when(kind == "error", "FAILED")
+        .when(kind == "click", pick(("APPROVED", "POST_CREATED", "PUBLISHED"), 3)).otherwise(pick(("IMAGE_CREATED", "READY_FOR_REVIEW", "PUBLISHING"), 3))
+    )
+    return e.select(
+        i, F.col("user_id").alias("article_id"), to.alias("to_status"), F.when(i % 4 == 0, pick(vocab.STATUSES, 11)).alias("from_status"), pick(vocab.STAGES, 6).alias("stage"), F.col("ts").cast("timestamp").alias("created_at")
+    )
+
+
+@query(_FOLD + " SELECT event_id, article_id, before, accepted, status AS after FROM r WHERE k > 0")
+def compare_and_set(spark, sf):
+    """Every event of the log as an attempted change of state, with the state it met and whether it holds."""
+    return fold.replay(attempts(spark, sf)).select("event_id", "article_id", "before", "accepted", "after")
+
+
+@query(_FOLD + """, a AS (SELECT * FROM r WHERE accepted),
+  b AS (SELECT article_id, max(CASE WHEN status IN ('APPROVED', 'READY_FOR_REVIEW', 'POST_CREATED') AND before IS DISTINCT FROM 'FAILED' THEN event_id END) AS reset_at, max_by(status, event_id) AS status, max_by(coalesce(stage, ''), event_id) AS stage FROM a GROUP BY 1)
+  SELECT b.article_id, b.status, nullif(b.stage, '') AS error_stage, count(f.event_id) AS retry_count FROM b LEFT JOIN a f ON f.article_id = b.article_id AND f.status = 'FAILED' AND (reset_at IS NULL OR f.event_id > reset_at) GROUP BY ALL""")
+def folded_state(spark, sf):
+    """The state and retry budget of every article after its accepted events."""
+    return state.folded(attempts(spark, sf))
+
+
+@query(_FOLD + ", l AS (SELECT r.article_id, r.event_id, before, e.seen FROM r JOIN e ON e.event_id = r.event_id WHERE NOT accepted AND seen IS NOT NULL AND seen IS DISTINCT FROM before) SELECT article_id, event_id, seen AS from_status, before FROM l")
+def lost_updates(spark, sf):
+    """Changes that were refused as another one came first."""
+    return state.lost_updates(attempts(spark, sf)).select("article_id", "event_id", "from_status", "before")
+
+
 _CURRENT = _LATEST + """, cur AS (SELECT article_id AS id, CASE WHEN event_id % 4 = 0 THEN 'PUBLISHING' ELSE to_status END AS status, stage AS error_stage, CAST(event_id % 5 AS BIGINT) AS retry_count,
   CASE WHEN event_id % 3 = 0 THEN 'p' END AS facebook_photo_id, CAST(NULL AS VARCHAR) AS facebook_post_id, CAST(NULL AS VARCHAR) AS facebook_comment_id, event_id FROM l)"""
 
