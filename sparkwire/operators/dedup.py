@@ -46,8 +46,9 @@ def same_story(df: DataFrame, id_col: str = "id", key: str = "title_fingerprint"
     seconds = F.unix_seconds(F.col(time).cast("timestamp"))
     frame = Window.partitionBy(key).orderBy(seconds).rangeBetween(-days * 86400, Window.currentRow)
     least = F.min(id_col).over(frame)
-    twin = F.when(F.col(key).isNotNull() & (least < F.col(id_col)), least)
-    return df.withColumn("twin_of", twin)
+    told = df.where(F.col(key).isNotNull()).withColumn("twin_of", F.when(least < F.col(id_col), least))
+    # headlines without a fingerprint have no twin, and would meet in one task
+    return told.unionByName(df.where(F.col(key).isNull()).withColumn("twin_of", F.lit(None).cast(df.schema[id_col].dataType)))
 
 
 def registered(df: DataFrame, store: DataFrame, next_id: int, *order: str) -> DataFrame:

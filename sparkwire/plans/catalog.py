@@ -11,7 +11,7 @@ from sparkwire import vocab
 from sparkwire.functions import text as X
 from sparkwire.functions import urls as N
 from sparkwire.functions.layout import fit_headline
-from sparkwire.operators import dedup, fold, publish, reports, rules, schedule, state
+from sparkwire.operators import dedup, fold, publish, reports, rules, scan, schedule, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -134,31 +134,44 @@ def round_robin_worklist(spark, sf):
     return schedule.work_list(e, "event_type", F.col("t"), "event_id", limit=200).select("event_id", "event_type", "round", "position")
 
 
-@query("""WITH t AS (SELECT event_id, event_type, user_id, row_number() OVER (ORDER BY ts DESC, event_id) AS pos FROM events ORDER BY ts DESC, event_id LIMIT 200),
-  u AS (SELECT *, coalesce(sum(CASE WHEN user_id % 3 <> 0 THEN 1 ELSE 0 END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM t)
-  SELECT event_id, pos FROM u WHERE used < 40""")
+@query("""WITH t AS (SELECT event_id, row_number() OVER w AS pos, coalesce(sum(CASE WHEN user_id % 3 <> 0 THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM events WINDOW w AS (ORDER BY ts DESC, event_id))
+  SELECT event_id, pos, CAST(used AS BIGINT) AS used, used < 4000 AS in_run FROM t""")
 def run_limit(spark, sf):
-    """The rows of one run: its work list is bounded, as a run of the reference works on 200 articles at most (command
-    line range 1 to 200), and what lies beyond is found again by the next run. The list of 200 is part of the query."""
+    """The whole log as one work list, the newest first: the place of each row, how much of the limit is used before it, and whether the run gets to it."""
     e, _ = _bounds(spark, sf)
-    top = e.orderBy(F.col("t").desc(), "event_id").limit(200)
-    top = top.withColumn("pos", F.row_number().over(Window.orderBy(F.col("t").desc(), "event_id")).cast("long"))
-    return schedule.within_limit(top, "pos", F.col("user_id") % 3 != 0, 40).select("event_id", "pos")
+    order = [F.col("t").desc(), F.col("event_id")]
+    sums = {"pos": F.lit(1).cast("long"), "used": F.when(F.col("user_id") % 3 != 0, 1).otherwise(0).cast("long")}
+    return scan.running(e, order, sums).select("event_id", (F.col("pos") + 1).alias("pos"), "used", (F.col("used") < 4000).alias("in_run"))
 
 
-@query("""WITH t AS (SELECT event_id, event_type, user_id, row_number() OVER (ORDER BY ts DESC, event_id) AS pos FROM events ORDER BY ts DESC, event_id LIMIT 100),
-  f AS (SELECT min(pos) AS first FROM t WHERE event_type = 'error')
-  SELECT event_id, CASE WHEN pos = first THEN 'returned' WHEN pos > first AND user_id % 2 = 0 THEN 'not_registered' WHEN pos > first AND event_type = 'view' THEN 'skipped' ELSE 'worked' END AS fate FROM t, f""")
+@query("""WITH t AS (SELECT event_id, event_type, user_id, ts, -epoch_us(ts) AS pos FROM events), f AS (SELECT min((pos, event_id)) AS first FROM t WHERE event_type = 'error')
+  SELECT event_id, CASE WHEN (pos, event_id) = first THEN 'returned' WHEN (pos, event_id) > first AND user_id % 2 = 0 THEN 'not_registered' WHEN (pos, event_id) > first AND event_type = 'view' THEN 'skipped' ELSE 'worked' END AS fate FROM t, f""")
 def outage_fates(spark, sf):
-    """The fates of one run's bounded work list, here of 100 rows: an outage stops the run it happens in, and what is
-    not on the run's list has no fate in it. The list is part of the query."""
+    """What becomes of every event of the log, the newest first, when the provider fails at the first error."""
     e, _ = _bounds(spark, sf)
-    top = e.orderBy(F.col("t").desc(), "event_id").limit(100)
-    top = top.withColumn("pos", F.row_number().over(Window.orderBy(F.col("t").desc(), "event_id")).cast("long"))
-    out = schedule.until_outage(top, "pos", F.col("event_type") == "error", F.col("event_type") == "view", F.col("user_id") % 2 == 0)
+    e = e.withColumn("place", F.struct(-F.unix_micros("t"), "event_id"))
+    out = schedule.until_outage(e, "place", F.col("event_type") == "error", F.col("event_type") == "view", F.col("user_id") % 2 == 0)
     return out.select("event_id", "fate")
 
 
+@query("""WITH t AS (SELECT event_id, event_type, user_id, ts, user_id % 10 <> 0 AS is_new FROM events),
+  l AS (SELECT *, CASE WHEN is_new THEN row_number() OVER (PARTITION BY event_type, is_new ORDER BY ts DESC, event_id) ELSE 0 END AS round FROM t),
+  o AS (SELECT *, row_number() OVER (ORDER BY is_new, round, ts DESC, event_id) AS place, coalesce(is_new AND (user_id % 7 = 0 OR user_id % 11 = 0), false) AS free, event_type <> 'purchase' AS needs FROM l),
+  f AS (SELECT min(place) AS first FROM o WHERE needs AND NOT free AND event_id % 1000 = 999),
+  s AS (SELECT *, coalesce(place > first, false) AND (is_new OR needs) AS stopped FROM o, f),
+  u AS (SELECT *, coalesce(sum(CASE WHEN free OR stopped THEN 0 ELSE 1 END) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM s)
+  SELECT event_id, place, CAST(used AS BIGINT) AS used, CASE WHEN used >= 5000 THEN 'next_run' WHEN place = first THEN 'returned' WHEN place > first AND is_new THEN 'not_registered' WHEN stopped THEN 'skipped'
+    WHEN is_new AND user_id % 7 = 0 THEN 'duplicate' WHEN is_new AND user_id % 11 = 0 THEN 'same_story' ELSE 'worked' END AS fate FROM u""")
+def run_fates(spark, sf):
+    """A run over the whole log: resumed rows first, then new ones in fair order over the kinds, with the provider's outage and the limit."""
+    e, _ = _bounds(spark, sf)
+    resumed, fresh = e.where("user_id % 10 = 0"), e.where("user_id % 10 <> 0")
+    work = schedule.run_list(resumed, fresh, "event_type", "t", "event_id")
+    user = F.col("user_id")
+    out = schedule.run_fates(work, 5000, F.col("event_id") % 1000 == 999, F.col("event_type") != "purchase", user % 7 == 0, user % 11 == 0)
+    return schedule.numbered(out.drop("pos"), [F.col("place")], "pos").select("event_id", F.col("pos").alias("place"), "used", "fate")
+
+
 # --- stories ---------------------------------------------------------------------------------------
 _TITLE = "string_split(text, chr(10))[1]"
 _FP = f"CASE WHEN len(regexp_extract_all(replace(lower({_TITLE}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+')) >= 6 THEN sha256(array_to_string(regexp_extract_all(replace(lower({_TITLE}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+'), ' ')) END"

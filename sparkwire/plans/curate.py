@@ -56,13 +56,13 @@ def run(documents: DataFrame, answers: DataFrame, store: DataFrame | None, now:
     classes = unique.withColumn("class", schedule.funnel(F.col("published_at"), cutoff, F.col("_known").isNotNull())).drop("_known")
     # refused twins take no room, so more than the limit may be registered: they are found among the fresh ones first
     fresh = schedule.round_robin(classes.where("class = 'fresh'"), "source_name", F.col("published_at"), "ordinal", "rank")
-    from pyspark.sql import Window
-
-    order = Window.orderBy("round", F.col("published_at").desc(), "ordinal", "rank")  # what is fresh in one run of a registry
     start = 0 if store is None else (store.agg(F.max("id")).first()[0] or 0)
-    work = fresh.withColumn("id", (F.row_number().over(order) + start).cast("long"))
+    work = schedule.numbered(fresh, [F.col("round"), F.col("published_at").desc(), F.col("ordinal"), F.col("rank")], "id", first=start + 1)
     if store is not None:
-        seen = store.select("id", "title_fingerprint", "discovered_at", F.lit(True).alias("_old"))
+        # only what can be a twin of this run's headlines
+        since = F.to_timestamp(F.lit(now)) - F.expr(f"interval {vocab.SAME_STORY_DAYS} days")
+        seen = store.where(F.col("discovered_at") >= since).join(work.select("title_fingerprint").distinct(), "title_fingerprint", "left_semi")
+        seen = seen.select("id", "title_fingerprint", "discovered_at", F.lit(True).alias("_old"))
         both = work.withColumn("_old", F.lit(False)).unionByName(seen, allowMissingColumns=True)
         work = dedup.same_story(both).where("not _old").drop("_old")
     else:
