@@ -11,7 +11,7 @@ from sparkwire import vocab
 from sparkwire.functions import text as X
 from sparkwire.functions import urls as N
 from sparkwire.functions.layout import fit_headline
-from sparkwire.operators import dedup, fold, publish, reports, rules, scan, schedule, state
+from sparkwire.operators import dedup, fold, publish, reports, rules, scan, schedule, state, stories
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -195,6 +195,66 @@ def same_story_7d(spark, sf):
     return dedup.same_story(d, "doc_id").select("doc_id", "twin_of")
 
 
+#: Documents as articles: the first line is the title, long capitalised words are the entities, the rest is told by the id.
+_KINDS, _CATS = ("launch", "funding", "acquisition", "security", "opinion"), tuple(sorted(vocab.CATEGORY_ALIASES))
+_ARTICLES = rf"""a AS (SELECT doc_id AS id, TIMESTAMP '2026-01-01' + to_hours(CAST(doc_id % 1000 AS INTEGER)) AS told, [{quoted(_KINDS)}][CAST(doc_id % 7 % 5 + 1 AS INTEGER)] AS event_type, doc_id % 3 + 1 AS tier, source AS publisher, text AS summary,
+    [{quoted(_CATS)}][CAST(doc_id % 11 % 5 + 1 AS INTEGER)] AS category, list_distinct(regexp_extract_all({_TITLE}, '\p{{Lu}}\p{{L}}{{4,}}')) AS entities, doc_id % 150 AS amount, doc_id % 4 = 0 AS exploited,
+    list_distinct(list_filter(regexp_extract_all(lower({_TITLE}), '[\p{{L}}\p{{N}}_]+'), lambda w: w NOT IN ({quoted(stories.COMMON_WORDS)}))) AS ws FROM documents)"""
+_CLUSTERS = f"""{_ARTICLES},
+  p AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.ws, y.ws)) AS i, len(x.ws) + len(y.ws) AS n, x.event_type = y.event_type AND list_has_any(x.entities, y.entities) AS near
+    FROM a x JOIN a y ON x.id < y.id AND len(x.ws) > 0 AND len(y.ws) > 0 AND abs(epoch_us(x.told) - epoch_us(y.told)) <= 72 * 3600 * 1000000::BIGINT),
+  l AS (SELECT a, b FROM p WHERE 100 * i >= 60 * (n - i) OR (near AND 100 * i >= 35 * (n - i))), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+  r AS (SELECT a AS node, b AS root FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.root = e.a),
+  c AS (SELECT a.id, least(a.id, coalesce(min(r.root), a.id)) AS cluster_id FROM a LEFT JOIN r ON r.node = a.id GROUP BY a.id)"""
+
+
+def story_articles(spark, sf) -> DataFrame:
+    i = F.col("doc_id")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    entities = F.array_distinct(F.regexp_extract_all(title(), F.lit(r"(\p{Lu}\p{L}{4,})"), 1))
+    return read(spark, sf, "documents").select(
+        i.alias("id"), title().alias("title"), F.expr("timestamp'2026-01-01 00:00:00' + make_dt_interval(0, int(doc_id % 1000))").alias("at"), pick(_KINDS, i % 7 % 5).alias("event_type"), (i % 3 + 1).alias("tier"),
+        F.col("source").alias("publisher"), F.col("text").alias("summary"), pick(_CATS, i % 11 % 5).alias("category"), entities.alias("entities"), (i % 150).alias("amount_musd"), (i % 4 == 0).alias("is_exploited"), (F.size(entities) > 2).alias("is_major"),
+    )
+
+
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT id, cluster_id FROM c")
+def title_clusters(spark, sf):
+    """Which documents tell one story, by the words of their first lines."""
+    return stories.clusters(story_articles(spark, sf)).select("id", "cluster_id")
+
+
+_CREDITED = f"""{_CLUSTERS},
+  s AS (SELECT cluster_id, count(DISTINCT publisher) AS publishers, count(*) AS n_articles, arg_min(a, (tier, told, -length(coalesce(summary, '')), a.id)) AS s FROM a JOIN c ON c.id = a.id GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {_CREDITED} SELECT cluster_id, s.id AS id, publishers, n_articles FROM s")
+def story_credit(spark, sf):
+    """The article that gets the credit of each story."""
+    return stories.credited(stories.clusters(story_articles(spark, sf))).select("cluster_id", "id", "publishers", "n_articles")
+
+
+@query(f"""WITH RECURSIVE {_CREDITED},
+  t AS (SELECT cluster_id, publishers, s.id AS id, s.told AS told, s.event_type AS event_type, s.tier AS tier, s.category AS category, s.amount AS amount, s.exploited AS exploited, len(s.entities) > 2 AS major FROM s WHERE s.event_type <> 'opinion'),
+  d AS (SELECT *, date_trunc('day', told) + to_days(CAST(o AS INTEGER)) + to_hours(CAST(h AS INTEGER)) AS slot FROM t, (VALUES (0), (1)) x(o), (VALUES (9), (14), (20)) y(h)),
+  b AS (SELECT *, CASE WHEN slot - told < INTERVAL 6 HOUR THEN 3 WHEN slot - told < INTERVAL 12 HOUR THEN 2 ELSE 1 END + CASE WHEN publishers >= 3 THEN 2 WHEN publishers = 2 THEN 1 ELSE 0 END + CASE WHEN tier <= 2 THEN 1 ELSE 0 END
+      + CASE WHEN major THEN 1 ELSE 0 END + CASE WHEN event_type = 'acquisition' OR (event_type = 'launch' AND major) THEN 2 ELSE 0 END + CASE WHEN event_type = 'security' AND exploited THEN 3 ELSE 0 END
+      + CASE WHEN event_type <> 'funding' THEN 0 WHEN amount >= 100 THEN 2 WHEN amount >= 20 THEN 1 ELSE 0 END AS base FROM d WHERE slot >= told AND slot < told + INTERVAL 24 HOUR),
+  k AS (SELECT slot, row_number() OVER (ORDER BY slot) AS n FROM (SELECT DISTINCT slot FROM b)),
+  w(n, slot, id, cluster_id, category, score, used, today) AS (
+    SELECT CAST(0 AS BIGINT), TIMESTAMP '2000-01-01', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), CAST([] AS BIGINT[]), CAST([] AS VARCHAR[])
+    UNION ALL SELECT n, slot, x.id, x.cluster_id, x.category, CAST(x.score AS INTEGER), list_append(used, x.id), list_append(today, x.category) FROM (
+      SELECT k.n, k.slot, any_value(w.used) AS used, CASE WHEN date_trunc('day', any_value(w.slot)) = date_trunc('day', k.slot) THEN any_value(w.today) ELSE [] END AS today,
+        arg_max({{'id': b.id, 'cluster_id': b.cluster_id, 'category': b.category, 'score': b.base - CASE WHEN p.hit THEN 2 ELSE 0 END}}, (b.base - CASE WHEN p.hit THEN 2 ELSE 0 END, b.told, -b.id)) AS x
+      FROM w JOIN k ON k.n = w.n + 1 JOIN b ON b.slot = k.slot, LATERAL (SELECT date_trunc('day', w.slot) = date_trunc('day', k.slot) AND list_contains(w.today, b.category) AS hit) p
+      WHERE NOT list_contains(w.used, b.id) GROUP BY k.n, k.slot))
+  SELECT slot, id, cluster_id, category, score FROM w WHERE n > 0""")
+def story_slots(spark, sf):
+    """The story of every daily slot of the whole table's calendar."""
+    told = stories.credited(stories.clusters(story_articles(spark, sf)))
+    return stories.slots(told).withColumn("slot", F.col("slot").cast("timestamp_ntz"))
+
+
 # --- state: events as transitions, users as articles ---------------------------------------------------
 _MAP = {"signup": "DISCOVERED", "view": "ANALYZING", "click": "APPROVED", "purchase": "READY_FOR_REVIEW", "error": "FAILED"}
 _CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _MAP.items()) + " END"
