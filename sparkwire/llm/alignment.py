@@ -219,8 +219,8 @@ class _Groups:
             ids[live] = ids[live] * 10 + data[starts[live] + j] - 48
         has = np.diff(at) > 0
         segment = np.searchsorted(at, starts, "right") - 1
-        group = np.cumsum(data == ord(";"))[starts] + (np.cumsum(has) - has)[segment] if len(starts) else np.zeros(0, np.int64)
-        is_b = np.cumsum(data == ord("|"))[starts] > group if len(starts) else np.zeros(0, bool)
+        group = np.cumsum(data == ord(";"), dtype=np.int32)[starts] + (np.cumsum(has) - has)[segment] if len(starts) else np.zeros(0, np.int64)
+        is_b = np.cumsum(data == ord("|"), dtype=np.int32)[starts] > group if len(starts) else np.zeros(0, bool)
         n_groups = int(group[-1]) + 1 if len(group) else 0
         na, nb = (np.bincount(group[x], minlength=n_groups) for x in (~is_b, is_b))
         first = np.cumsum(na + nb) - na - nb  # a group's ids of A come first, those of B after them
@@ -269,7 +269,7 @@ def _links(codes: np.ndarray, cuts: np.ndarray, good: np.ndarray, found: _Groups
     """(pair, times) of the different links of each document, one document after the other, and how many each has; some documents at a time."""
     helds, weights, many_of, first, n_docs, ends = [], [], [], 0, len(good), found.ends
     while first < n_docs:
-        last = min(max(first + 1, int(np.searchsorted(cuts, cuts[first] + (1 << 18), "right")) - 1), n_docs)
+        last = min(max(first + 1, int(np.searchsorted(cuts, cuts[first] + (1 << 17), "right")) - 1), n_docs)
         doc = np.repeat(np.arange(last - first), np.diff(cuts[first : last + 1]))
         ok = good[first:last][doc]
         both, again = np.unique(doc[ok] << 32 | codes[cuts[first] : cuts[last]][ok], return_counts=True)
