@@ -113,19 +113,23 @@ def may_redirect(origin: str, to: str, hops: int) -> bool:
     return hops <= 5 and not (origin.startswith("https:") and to.startswith("http:"))
 
 
-def fetched(feeds: DataFrame, get: Callable[[str], tuple[int, dict, bytes]], wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> DataFrame:
-    """Documents of the enabled feeds, a task per feed up to PARALLEL at once. ``get`` is the transport; failures
-    become rows with an error. Transient ones are tried ATTEMPTS times, after 1, 2, 4 ... seconds, MAX_WAIT at most; what took
-    more than MAX_SECONDS is refused."""
-    enabled = feeds.where("enabled").select("name", "ordinal", "url")
+@dataclass(frozen=True)
+class Fetcher:
+    """A bounded fetch of one feed by a given transport ``get(url) -> (status, headers, body)``. Transient failures are tried ATTEMPTS times, after 1, 2, 4 ...
+    seconds, MAX_WAIT at most; what took more than MAX_SECONDS, or is too large, is refused."""
+
+    get: Callable[[str], tuple[int, dict, bytes]]
+    wait: Callable[[float], None] = time.sleep
+    clock: Callable[[], float] = time.monotonic
 
-    def one(url: str) -> tuple[bytes | None, str | None]:
+    def __call__(self, url: str) -> tuple[bytes | None, str | None]:
+        """(body, None) or (None, what went wrong)."""
         for attempt in range(1, ATTEMPTS + 1):
             if attempt > 1:
-                wait(min(MAX_WAIT, 2.0 ** (attempt - 2)))
-            began = clock()
+                self.wait(min(MAX_WAIT, 2.0 ** (attempt - 2)))
+            began = self.clock()
             try:
-                status, headers, body = get(url)
+                status, headers, body = self.get(url)
             except TimeoutError:
                 error = "timed out"
             except OSError as e:
@@ -141,17 +145,23 @@ def fetched(feeds: DataFrame, get: Callable[[str], tuple[int, dict, bytes]], wai
                     return None, "server sent a compressed feed"
                 if len(body) > MAX_FEED_BYTES:
                     return None, TOO_LARGE
-                if clock() - began > MAX_SECONDS:
+                if self.clock() - began > MAX_SECONDS:
                     return None, f"feed took more than {MAX_SECONDS} seconds"
                 return body, None
         return None, error
 
+
+def fetched(feeds: DataFrame, get: Callable[[str], tuple[int, dict, bytes]], wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> DataFrame:
+    """Documents of the enabled feeds of a table, up to PARALLEL at once; failures become rows with an error. A registry of the driver is
+    better read by :func:`sparkwire.sources.scan.documents`, with a task for each feed."""
+    one = Fetcher(get, wait, clock)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             got = [one(u) for u in f["url"]]
             yield pd.DataFrame({"feed": f["name"], "ordinal": f["ordinal"], "url": f["url"], "content": [g[0] for g in got], "fetch_error": [g[1] for g in got]})
 
-    return enabled.repartition(PARALLEL, "name").mapInPandas(run, DOCUMENTS)
+    return feeds.where("enabled").select("name", "ordinal", "url").repartition(PARALLEL, "name").mapInPandas(run, DOCUMENTS)
 
 
 def from_files(spark: SparkSession, path: str, feeds: DataFrame) -> DataFrame:
@@ -159,14 +169,14 @@ def from_files(spark: SparkSession, path: str, feeds: DataFrame) -> DataFrame:
     nor digit, or, if no other feed's url ends so, like the last part of its url."""
     files = spark.read.format("binaryFile").load(path)
     large = F.col("length") > MAX_FEED_BYTES
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.when(~large, F.col("content")).alias("content"), large.alias("large"))
+    files = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), F.when(~large, F.col("content")).alias("content"), large.alias("large"))
     slug = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}]+", "-"), F.lit("-"))
     ending = F.element_at(F.split("url", "/"), -1)
     mine = feeds.where("enabled").withColumns({"slug": slug(F.col("name")), "ending": ending})
     only = mine.groupBy("ending").agg(F.count("*").alias("n")).where("n = 1").select(F.col("ending").alias("only"))
     mine = mine.join(only, F.col("ending") == F.col("only"), "left")
-    by_name = files.select(slug(F.regexp_replace("file", r"\.[^.]*$", "")).alias("stem"), F.col("content").alias("n_content"), F.col("large").alias("n_large"))
-    by_name = by_name.groupBy("stem").agg(F.first("n_content").alias("n_content"), F.first("n_large").alias("n_large"))
+    by_name = files.select("path", slug(F.regexp_replace("file", r"\.[^.]*$", "")).alias("stem"), F.col("content").alias("n_content"), F.col("large").alias("n_large"))
+    by_name = by_name.groupBy("stem").agg(F.min_by("n_content", "path").alias("n_content"), F.min_by("n_large", "path").alias("n_large"))  # of two files with one stem the least path
     out = mine.join(by_name, F.col("slug") == F.col("stem"), "left").join(files, F.col("only") == F.col("file"), "left")
     named = F.col("stem").isNotNull()
     content, large = F.when(named, F.col("n_content")).otherwise(F.col("content")), F.coalesce(F.when(named, F.col("n_large")).otherwise(F.col("large")), F.lit(False))
