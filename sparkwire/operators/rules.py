@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import unicodedata
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkwire import vocab
 from sparkwire.functions import text as X
@@ -19,20 +16,20 @@ _URL = r"(?i)(https?://|www\.)"
 ANSWER = "is_relevant boolean, category string, catchy_headline string, facebook_caption string, original_url string, rejection_reason string"
 
 
-@F.pandas_udf(T.BooleanType())
-def meets_contract(raw: pd.Series) -> pd.Series:
-    """Exactly the six keys, a real boolean, and strings or null: types are never coerced."""
+#: An object as Spark describes it: its keys in order, each with its type; VOID is a JSON null.
+_CONTRACT = "^OBJECT<" + ", ".join(f"{k}: " + ("BOOLEAN" if k == "is_relevant" else "(STRING|VOID)") for k in sorted(vocab.ANSWER_KEYS)) + ">$"
 
-    def ok(t):
-        try:
-            d = json.loads(t)
-        except (TypeError, ValueError):
-            return False
-        if not isinstance(d, dict) or set(d) != set(vocab.ANSWER_KEYS) or not isinstance(d["is_relevant"], bool):
-            return False
-        return all(v is None or isinstance(v, str) for k, v in d.items() if k != "is_relevant")
 
-    return raw.map(ok)
+def meets_contract(raw: Column) -> Column:
+    """One JSON object with exactly the six keys, a real boolean, and strings or null: types are never coerced, a key that stands twice is a breach.
+
+    The parser would overlook what follows a value. So the text is put in a list, before a second entry that it can't know, its own hash: only if the
+    text is one whole value, that entry is the list's second one.
+    """
+    mark = F.sha2(raw, 256)
+    parsed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(',"'), mark, F.lit('"]')))
+    whole = F.try_variant_get(parsed, "$[1]", "string") == mark
+    return F.coalesce(whole & F.schema_of_variant(F.try_variant_get(parsed, "$[0]", "variant")).rlike(_CONTRACT), F.lit(False))
 
 
 @cache
@@ -100,7 +97,7 @@ def verdict(answers: DataFrame, raw: str = "answer") -> DataFrame:
     a = F.col("_a")
     reason = X.collapsed(F.coalesce(a["rejection_reason"], F.lit("")))
     headline, caption = X.normalized_headline(F.coalesce(a["catchy_headline"], F.lit(""))), strip(F.coalesce(a["facebook_caption"], F.lit("")))
-    parsed = parsed.withColumns({"_ok": meets_contract("_t"), "reason": reason, "headline": headline, "caption": caption})
+    parsed = parsed.withColumns({"_ok": meets_contract(text), "reason": reason, "headline": headline, "caption": caption})
     h, c = F.col("headline"), F.col("caption")
     source = F.concat_ws(" ", "title", "summary")
     copy = F.concat_ws(" ", h, c)
