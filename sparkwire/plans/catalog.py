@@ -386,18 +386,31 @@ def state_predicates(spark, sf):
     )
 
 
-@query(_CURRENT + """, h AS (SELECT *, CAST(id % 100 AS VARCHAR) AS url_hash, CAST(id AS VARCHAR) AS canonical_url FROM cur)
-  SELECT 'I2' AS rule, CAST(0 AS BIGINT) AS violations UNION ALL
-  SELECT 'I3', count(*) FILTER (WHERE status IN ('APPROVED', 'READY_FOR_REVIEW', 'PUBLISHING')) FROM h UNION ALL
-  SELECT 'I4', count(*) FILTER (WHERE status IN ('READY_FOR_REVIEW', 'PUBLISHING')) FROM h UNION ALL
-  SELECT 'I5', 0 UNION ALL SELECT 'I6', 0 UNION ALL
-  SELECT 'I7', count(*) FILTER (WHERE status = 'PUBLISHING' AND facebook_photo_id IS NOT NULL) FROM h UNION ALL
+_EMPTY = "coalesce({} = '', true)".format
+_AUDITED = f"""h AS (SELECT id, CASE WHEN id % 17 = 0 THEN 'PUBLISHED' WHEN id % 19 = 0 THEN 'UNHEARD_OF' ELSE status END AS status, CASE WHEN id % 13 = 0 THEN 'GOSSIP' WHEN id % 3 = 0 THEN 'BUSINESS' END AS category,
+    CASE WHEN id % 3 = 0 THEN 'A headline' END AS headline, CASE WHEN id % 3 = 0 THEN 'A caption' WHEN id % 3 = 1 THEN '' END AS caption, CASE WHEN id % 5 = 0 THEN 'a.jpg' END AS image, facebook_photo_id AS photo, facebook_post_id AS post,
+    CASE WHEN id % 34 = 0 THEN 'c' END AS comment, id % 100 AS url_hash, id % 140 AS canonical_url FROM cur),
+  log AS (SELECT CASE WHEN user_id % 10 = 0 THEN -user_id - 1 ELSE user_id END AS article_id FROM events)"""
+
+
+@query(_CURRENT + f""", {_AUDITED}
+  SELECT 'I2' AS rule, count(*) FILTER (WHERE status NOT IN ({quoted(vocab.STATUSES)}) OR category NOT IN ({quoted(vocab.CATEGORY_ALIASES)})) AS violations FROM h UNION ALL
+  SELECT 'I3', count(*) FILTER (WHERE status IN ({quoted(vocab.NEEDS_CONTENT)}) AND ({_EMPTY("category")} OR {_EMPTY("headline")} OR {_EMPTY("caption")})) FROM h UNION ALL
+  SELECT 'I4', count(*) FILTER (WHERE status IN ({quoted(vocab.NEEDS_IMAGE)}) AND {_EMPTY("image")}) FROM h UNION ALL
+  SELECT 'I5', count(*) FILTER (WHERE status IN ({quoted(vocab.POSTED)}) AND {_EMPTY("photo")} AND {_EMPTY("post")}) FROM h UNION ALL
+  SELECT 'I6', count(*) FILTER (WHERE status = 'PUBLISHED' AND {_EMPTY("comment")}) FROM h UNION ALL
+  SELECT 'I7', count(*) FILTER (WHERE status = 'PUBLISHING' AND NOT ({_EMPTY("photo")} AND {_EMPTY("post")})) FROM h UNION ALL
   SELECT 'I1_url_hash', count(*) FROM (SELECT url_hash FROM h GROUP BY 1 HAVING count(*) > 1) UNION ALL
-  SELECT 'I1_canonical_url', 0 UNION ALL SELECT 'I8', (SELECT count(*) FROM events WHERE user_id % 10 = 0)""")
+  SELECT 'I1_canonical_url', count(*) FROM (SELECT canonical_url FROM h GROUP BY 1 HAVING count(*) > 1) UNION ALL
+  SELECT 'I8', count(*) FROM log WHERE article_id NOT IN (SELECT id FROM h)""")
 def integrity_audit(spark, sf):
-    n = F.lit(None).cast("string")
-    c = current(spark, sf).withColumns({k: n for k in ("category", "catchy_headline", "facebook_caption", "image_path")})
-    c = c.withColumns({"url_hash": (F.col("id") % 100).cast("string"), "canonical_url": F.col("id").cast("string")})
+    """Every rule of the audit over the current view and the whole log, with breaches of each planted by the id."""
+    i, none = F.col("id"), F.lit(None).cast("string")
+    c = current(spark, sf).withColumns({
+        "status": F.when(i % 17 == 0, "PUBLISHED").when(i % 19 == 0, "UNHEARD_OF").otherwise(F.col("status")), "category": F.when(i % 13 == 0, "GOSSIP").when(i % 3 == 0, "BUSINESS"),
+        "catchy_headline": F.when(i % 3 == 0, "A headline"), "facebook_caption": F.when(i % 3 == 0, "A caption").when(i % 3 == 1, ""), "image_path": F.when(i % 5 == 0, "a.jpg"),
+        "facebook_comment_id": F.when(i % 34 == 0, "c").otherwise(none), "url_hash": (i % 100).cast("string"), "canonical_url": (i % 140).cast("string"),
+    })
     # the whole log is held against the store; events of every tenth article have an id that is in none
     log = event_log(spark, sf).withColumn("article_id", F.when(F.col("article_id") % 10 == 0, -F.col("article_id") - 1).otherwise(F.col("article_id")))
     return state.audit(c, log)
@@ -411,8 +424,7 @@ def newest_first_topk(spark, sf):
 
 @query("SELECT event_id, ts AS started_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 5")
 def recent_runs(spark, sf):
-    runs = read(spark, sf, "events").select("event_id", F.col("ts").alias("started_at")).orderBy(F.col("started_at").desc(), F.col("event_id").desc()).limit(5)
-    return reports.recent_runs(runs)
+    return reports.recent_runs(read(spark, sf, "events").select("event_id", F.col("ts").alias("started_at")))
 
 
 @query("""WITH c AS (SELECT max(ts) - INTERVAL 48 HOUR AS cutoff FROM events), f AS (SELECT DISTINCT event_type AS feed FROM events UNION ALL SELECT 'silent')
@@ -476,15 +488,21 @@ def html_to_text(spark, sf):
 
 
 _LABELS = [x for names in (*vocab.CATEGORY_ALIASES.values(),) for x in names] + [*vocab.CATEGORY_ALIASES, "Startups & Funding", " tech-industry ", "Sports", ""]
-_VALUES = ", ".join(f"('{x}')" for x in _LABELS)
 _KEY = "trim(regexp_replace(regexp_replace(replace(upper(label), '&', ' AND '), '[^A-Z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 _LOOKUP = "CASE k " + " ".join(f"WHEN '{a}' THEN '{c}'" for c, names in vocab.CATEGORY_ALIASES.items() for a in (c, *names)) + " END"
+#: A label of each document: a name chosen by the length of its text, in the manner of its first letter, or its own first two words.
+_LABEL = f"""CASE WHEN doc_id % 4 = 0 THEN array_to_string(string_split({_TITLE}, ' ')[1:2], ' ') ELSE CASE WHEN length(text) % 3 = 0 THEN lower(l) WHEN length(text) % 3 = 1 THEN ' ' || replace(l, ' AND ', ' & ') ELSE replace(l, ' ', '-') || '!' END END"""
 
 
-@query(f"SELECT label, k AS category_key, {_LOOKUP} AS category FROM (SELECT label, {_KEY} AS k FROM (VALUES {_VALUES}) v(label))")
+@query(f"SELECT doc_id, label, k AS category_key, {_LOOKUP} AS category FROM (SELECT doc_id, label, {_KEY} AS k FROM (SELECT doc_id, {_LABEL} AS label FROM (SELECT doc_id, text, [{quoted(_LABELS)}][length(text) % {len(_LABELS)} + 1] AS l FROM documents)))")
 def category_normalize(spark, sf):
-    v = spark.createDataFrame([(x,) for x in _LABELS], "label string")
-    return v.select("label", X.category_key(F.col("label")).alias("category_key"), X.category(F.col("label")).alias("category"))
+    """The category of a label of every document."""
+    n = F.length("text")
+    name = F.element_at(F.array(*map(F.lit, _LABELS)), n % len(_LABELS) + 1)
+    manner = F.when(n % 3 == 0, F.lower(name)).when(n % 3 == 1, F.concat(F.lit(" "), F.replace(name, F.lit(" AND "), F.lit(" & ")))).otherwise(F.concat(F.replace(name, F.lit(" "), F.lit("-")), F.lit("!")))
+    own = F.array_join(F.slice(F.split(title(), " "), 1, 2), " ")
+    v = read(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, own).otherwise(manner).alias("label"))
+    return v.select("doc_id", "label", X.category_key(F.col("label")).alias("category_key"), X.category(F.col("label")).alias("category"))
 
 
 # --- rules -------------------------------------------------------------------------------------------------
@@ -496,35 +514,110 @@ _HEADS = [
 _H = "regexp_replace(CASE WHEN length(c) >= 2 AND regexp_matches(c, '^[\"''“‘]') AND regexp_matches(c, '[\"''”’]$') THEN trim(substr(c, 2, length(c) - 2)) ELSE c END, '([^.])\\.$', '\\1')"
 _LET = "list_filter(string_split(h, ' '), lambda w: length(regexp_replace(w, '[^\\p{L}]', '', 'g')) >= 2)"
 _LOUD = f"list_filter({_LET}, lambda w: w = upper(w) AND w <> lower(w))"
+_TAG = "(^|[^\\p{L}\\p{N}_])#\\p{L}"
+_HEAD_RULES = f"""WHEN h = '' THEN 'V09' WHEN len(string_split(h, ' ')) NOT BETWEEN 5 AND 18 THEN 'V10' WHEN length(h) > 120 THEN 'V11' WHEN regexp_matches(h, '(?i)(https?://|www\\.)') THEN 'V12'
+    WHEN regexp_matches(h, '{_TAG}') THEN 'V13' WHEN length(h) - length(replace(h, '!', '')) > 1 OR regexp_matches(h, '\\?!|!\\?|\\?\\?') THEN 'V14'
+    WHEN len({_LET}) >= 4 AND len({_LOUD}) / len({_LET}) > 0.6 THEN 'V15' WHEN regexp_matches(h, '[\\p{{Cyrillic}}\\p{{Greek}}\\p{{Han}}]') THEN 'V16'
+    WHEN regexp_matches(h, '[^\\p{{L}}\\p{{Nd}}\\p{{Zs}}\\p{{Pd}}\\p{{Ps}}\\p{{Pe}}\\p{{Pi}}\\p{{Pf}}\\p{{Po}}\\p{{Sc}}\\p{{Sm}}]') THEN 'V17'"""
 
 
 @query(f"""WITH s AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS raw FROM documents UNION ALL SELECT -k, t FROM (VALUES {", ".join(f"({i + 1}, '{h}')" for i, h in enumerate(_HEADS))}) v(k, t)),
   n AS (SELECT id, rtrim({_H}) AS h FROM (SELECT id, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS c FROM s))
-  SELECT id, CASE WHEN h = '' THEN 'V09' WHEN len(string_split(h, ' ')) NOT BETWEEN 5 AND 18 THEN 'V10' WHEN length(h) > 120 THEN 'V11' WHEN regexp_matches(h, '(?i)(https?://|www\\.)') THEN 'V12'
-    WHEN regexp_matches(h, '(^|[^\\p{{L}}\\p{{N}}_])#\\p{{L}}') THEN 'V13' WHEN length(h) - length(replace(h, '!', '')) > 1 OR regexp_matches(h, '\\?!|!\\?|\\?\\?') THEN 'V14'
-    WHEN len({_LET}) >= 4 AND len({_LOUD}) / len({_LET}) > 0.6 THEN 'V15' WHEN regexp_matches(h, '[\\p{{Cyrillic}}\\p{{Greek}}\\p{{Han}}]') THEN 'V16'
-    WHEN regexp_matches(h, '[^\\p{{L}}\\p{{Nd}}\\p{{Zs}}\\p{{Pd}}\\p{{Ps}}\\p{{Pe}}\\p{{Pi}}\\p{{Pf}}\\p{{Po}}\\p{{Sc}}\\p{{Sm}}]') THEN 'V17' END AS rule FROM n""")
+  SELECT id, CASE {_HEAD_RULES} END AS rule FROM n""")
 def headline_rules(spark, sf):
     d = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), title().alias("raw"))
     d = d.unionByName(spark.createDataFrame([(-(i + 1), h) for i, h in enumerate(_HEADS)], "id long, raw string"))
     return d.select("id", rules.headline_rule(X.normalized_headline(F.col("raw"))).alias("rule"))
 
 
-_BODY = "A maker of small robots has opened a new plant near the old harbour, the company said. "
-_CAPS = [
-    _BODY + "#Tech #AI", "", "Short #a #b", _BODY + "See https://x.example #Tech #AI", "The #AI maker opens a plant. " + _BODY + "#Tech #AI", _BODY + "#One", _BODY + " ".join(f"#t{i}" for i in range(9)),
-    _BODY * 7 + "#Tech #AI", _BODY + "C# wins. #Tech #AI", " #" + "a" * 50 + " #" + "b" * 50, _BODY,
-]
 _TAIL = "regexp_extract(c, '((\\s+#\\p{L}[\\p{L}\\p{N}_]*)+\\s*)$', 1)"
+_CAP_BODY = f"substr(c, 1, length(c) - length({_TAIL}))"
+_CAP_RULES = f"""WHEN c = '' THEN 'V18' WHEN regexp_matches(c, '\\p{{Cf}}') THEN 'V19' WHEN length(c) NOT BETWEEN 60 AND 500 THEN 'V20' WHEN regexp_matches(c, '(?i)(https?://|www\\.)') THEN 'V21'
+    WHEN regexp_matches({_CAP_BODY}, '{_TAG}') THEN 'V22' WHEN len(regexp_extract_all({_TAIL}, '#\\p{{L}}')) NOT BETWEEN 2 AND 7 THEN 'V23' WHEN trim({_CAP_BODY}) = '' THEN 'V24'"""
+_I = "CAST(doc_id % {} AS INTEGER)".format
+#: Copy made of a document's own first line: as much of it as the id says, with tags of its words and now and then something that no copy may have.
+_COPY = f"""d AS (SELECT doc_id, coalesce({_TITLE}, '') AS line, regexp_extract_all(coalesce({_TITLE}, ''), '\\p{{L}}{{2,12}}') AS tags, regexp_extract_all(coalesce({_TITLE}, ''), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents),
+  x AS (SELECT doc_id, line, array_to_string(ws[1:3 + {_I(18)}], ' ') || CASE WHEN doc_id % 23 = 0 THEN '?!' WHEN doc_id % 29 = 0 THEN ' #Tag' WHEN doc_id % 59 = 0 THEN ' system prompt' ELSE '' END AS h0,
+    CASE WHEN doc_id % 41 = 0 THEN '' ELSE CASE WHEN doc_id % 17 = 0 THEN '#Early ' WHEN doc_id % 43 = 0 THEN '2031 ' ELSE '' END || substr(line, 1, 30 + {_I(560)})
+      || CASE WHEN doc_id % 13 = 0 THEN ' www.site.example' WHEN doc_id % 47 = 0 THEN ' at site.example' WHEN doc_id % 53 = 0 THEN ' with guaranteed returns' WHEN doc_id % 61 = 0 THEN chr(8203) ELSE '' END END
+      || CASE WHEN doc_id % 9 = 0 OR len(tags) = 0 THEN '' ELSE ' #' || array_to_string(tags[1:{_I(9)}], ' #') END AS c0 FROM d),
+  y AS (SELECT doc_id, line, rtrim({_H}) AS h, trim(CASE WHEN doc_id % 37 = 0 THEN '' ELSE c0 END) AS c FROM (SELECT *, trim(regexp_replace(CASE WHEN doc_id % 31 = 0 THEN upper(h0) ELSE h0 END, '\\s+', ' ', 'g')) AS c FROM (SELECT * FROM x)))"""
+_COPY = _COPY.replace("SELECT *, trim(regexp_replace(CASE WHEN doc_id % 31", "SELECT doc_id, line, c0, trim(regexp_replace(CASE WHEN doc_id % 31")
+
+
+def copy_of(spark, sf) -> DataFrame:
+    """(doc_id, line, headline, caption) as written, before anything is normalised."""
+    i, line, blank = F.col("doc_id"), F.coalesce(title(), F.lit("")), F.lit("")
+    words, tags = (F.regexp_extract_all(line, F.lit(p), 1) for p in (r"([\p{L}\p{N}]+)", r"(\p{L}{2,12})"))
+    first = lambda parts, n, by: F.array_join(F.slice(parts, F.lit(1), n.cast("int")), by)
+    head = F.concat(first(words, 3 + i % 18, " "), F.when(i % 23 == 0, "?!").when(i % 29 == 0, " #Tag").when(i % 59 == 0, " system prompt").otherwise(""))
+    odd = F.when(i % 13 == 0, " www.site.example").when(i % 47 == 0, " at site.example").when(i % 53 == 0, " with guaranteed returns").when(i % 61 == 0, "\u200b").otherwise("")
+    body = F.concat(F.when(i % 17 == 0, "#Early ").when(i % 43 == 0, "2031 ").otherwise(""), F.substring(line, F.lit(1), (30 + i % 560).cast("int")), odd)
+    ends = F.when((i % 9 == 0) | (F.size(tags) == 0), "").otherwise(F.concat(F.lit(" #"), first(tags, i % 9, " #")))
+    caption = F.when(i % 37 == 0, blank).otherwise(F.concat(F.when(i % 41 == 0, blank).otherwise(body), ends))
+    return read(spark, sf, "documents").select("doc_id", line.alias("line"), F.when(i % 31 == 0, F.upper(head)).otherwise(head).alias("headline"), caption.alias("caption"))
+
+
+@query(f"WITH {_COPY} SELECT doc_id, CASE {_CAP_RULES} END AS rule FROM y")
+def caption_rules(spark, sf):
+    """The rule that a caption made of each document's own line breaks first."""
+    return copy_of(spark, sf).select("doc_id", rules.caption_rule(N.strip(F.col("caption"))).alias("rule"))
 
 
-@query(f"""WITH s AS (SELECT k, trim(t) AS c FROM (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(_CAPS))}) v(k, t)),
-  p AS (SELECT k, c, {_TAIL} AS tail, substr(c, 1, length(c) - length({_TAIL})) AS body FROM s)
-  SELECT k, CASE WHEN c = '' THEN 'V18' WHEN length(c) NOT BETWEEN 60 AND 500 THEN 'V20' WHEN regexp_matches(c, '(?i)(https?://|www\\.)') THEN 'V21'
-    WHEN regexp_matches(body, '(^|[^\\p{{L}}\\p{{N}}_])#\\p{{L}}') THEN 'V22' WHEN len(regexp_extract_all(tail, '#\\p{{L}}')) NOT BETWEEN 2 AND 7 THEN 'V23' WHEN trim(body) = '' THEN 'V24' END AS rule FROM p""")
-def caption_rules(spark, sf):
-    v = spark.createDataFrame(list(enumerate(_CAPS)), "k int, t string")
-    return v.select("k", rules.caption_rule(N.strip(F.col("t"))).alias("rule"))
+_SIX = "[" + quoted(sorted(vocab.ANSWER_KEYS)) + "]"
+_TYPES = " AND ".join(f"json_type(j, '$.{k}') IN ('VARCHAR', 'NULL')" for k in vocab.ANSWER_KEYS if k != "is_relevant")
+_NOT = "'\"is_relevant\":false'"
+
+
+@query(f"""WITH d AS (SELECT doc_id, doc_id % 16 AS m, coalesce({_TITLE}, '') AS line FROM documents),
+  a AS (SELECT doc_id, m, line, CAST(to_json({{'is_relevant': false, 'category': CASE WHEN m = 14 THEN line END, 'catchy_headline': line, 'facebook_caption': CAST(NULL AS VARCHAR), 'original_url': CAST(doc_id AS VARCHAR),
+    'rejection_reason': CASE m WHEN 10 THEN NULL WHEN 11 THEN '  ' WHEN 12 THEN 'I cannot judge this: ' || line WHEN 13 THEN 'Against the editorial policy, ' || line ELSE line END}}) AS VARCHAR) AS j FROM d),
+  s AS (SELECT doc_id, trim(CASE m WHEN 1 THEN '' WHEN 2 THEN '   ' WHEN 3 THEN '```json' || j || '```' WHEN 4 THEN line WHEN 5 THEN '[' || j || ']' WHEN 6 THEN left(j, -1) || ',"extra":1}}' WHEN 7 THEN replace(j, '"category"', '"kategory"')
+    WHEN 8 THEN replace(j, {_NOT}, '"is_relevant":"false"') WHEN 9 THEN replace(j, {_NOT}, '"is_relevant":0') WHEN 15 THEN j || ' ' || j ELSE j END) AS t FROM a),
+  p AS (SELECT doc_id, t, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM s)
+  SELECT doc_id, CASE WHEN t = '' THEN 'V01' WHEN contains(t, '```') THEN 'V02' WHEN NOT coalesce(json_type(j) = 'OBJECT' AND list_sort(json_keys(j)) = {_SIX} AND json_type(j, '$.is_relevant') = 'BOOLEAN' AND {_TYPES}, false) THEN 'V03'
+    WHEN coalesce(trim(j->>'$.rejection_reason'), '') = '' THEN 'V04' WHEN regexp_matches(j->>'$.rejection_reason', '{vocab.LEAK}') OR regexp_matches(j->>'$.rejection_reason', '{vocab.REFUSAL.replace("'", "''")}') THEN 'V05' END AS rule FROM p""")
+def decision_contract(spark, sf):
+    """Refusals of every document, its own line in their fields, in the sixteen ways in which an answer can come: as agreed, fenced, with a key too many, a wrong type, something after it ..."""
+    m, line, i = F.col("doc_id") % 16, F.coalesce(title(), F.lit("")), F.col("doc_id").cast("string")
+    reason = F.when(m == 10, F.lit(None)).when(m == 11, "  ").when(m == 12, F.concat(F.lit("I cannot judge this: "), line)).when(m == 13, F.concat(F.lit("Against the editorial policy, "), line)).otherwise(line)
+    fields = [F.lit(False).alias("is_relevant"), F.when(m == 14, line).alias("category"), line.alias("catchy_headline"), F.lit(None).cast("string").alias("facebook_caption"), i.alias("original_url"), reason.alias("rejection_reason")]
+    j = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    put = lambda a, b: F.replace(j, F.lit(a), F.lit(b))
+    text = (
+        F.when(m == 1, "").when(m == 2, "   ").when(m == 3, F.concat(F.lit("```json"), j, F.lit("```"))).when(m == 4, line).when(m == 5, F.concat(F.lit("["), j, F.lit("]")))
+        .when(m == 6, F.concat(F.substring(j, F.lit(1), F.length(j) - 1), F.lit(',"extra":1}'))).when(m == 7, put('"category"', '"kategory"')).when(m == 8, put('"is_relevant":false', '"is_relevant":"false"'))
+        .when(m == 9, put('"is_relevant":false', '"is_relevant":0')).when(m == 15, F.concat_ws(" ", j, j)).otherwise(j)
+    )
+    d = read(spark, sf, "documents").select("doc_id", text.alias("answer"), line.alias("title"), F.lit("").alias("summary"), F.lit("doc").alias("source_name"), i.alias("original_url"))
+    return rules.verdict(d).select("doc_id", "rule")
+
+
+def _numbers_sql(copy: str, source: str) -> str:
+    number = "'\\p{Nd}+(?:[.,]\\p{Nd}+)*'"
+    return f"""len(list_filter(regexp_extract_all(regexp_replace({copy}, '(^|[^\\p{{L}}\\p{{N}}_])#\\p{{L}}[\\p{{L}}\\p{{N}}_]*', '\\1 ', 'g'), {number}),
+      lambda n: NOT list_contains(list_transform(regexp_extract_all({source}, {number}), lambda m: replace(m, ',', '')), replace(n, ',', '')))) > 0"""
+
+
+_ALIAS = "[" + quoted(_LABELS) + f"][length(line) % {len(_LABELS)} + 1]"
+_ADVICE = vocab.ADVICE.replace("'", "''")
+
+
+@query(f"""WITH {_COPY}, z AS (SELECT *, {_ALIAS} AS label FROM y), k AS (SELECT doc_id, line, h, c, {_LOOKUP} AS category FROM (SELECT *, {_KEY} AS k FROM z))
+  SELECT doc_id, category, CASE WHEN category IS NULL THEN 'V06' WHEN doc_id % 19 = 0 THEN 'V07'
+    WHEN regexp_matches(h, '{vocab.LEAK}') OR regexp_matches(c, '{vocab.LEAK}') OR regexp_matches(h, '{vocab.REFUSAL.replace("'", "''")}') OR regexp_matches(c, '{vocab.REFUSAL.replace("'", "''")}') THEN 'V08'
+    {_HEAD_RULES} {_CAP_RULES} WHEN {_numbers_sql("(h || ' ' || c)", "line")} THEN 'V25' WHEN regexp_matches(h, '{_ADVICE}') OR regexp_matches(c, '{_ADVICE}') THEN 'V26'
+    WHEN len(list_filter(regexp_extract_all(regexp_replace(h || ' ' || c, '(^|[^\\p{{L}}\\p{{N}}_])#\\p{{L}}[\\p{{L}}\\p{{N}}_]*', '\\1 ', 'g'), '(?i)\\b(?:[a-z0-9-]+\\.)+[a-z]{{2,24}}\\b'), lambda n: NOT contains(lower(line || ' doc https://doc.example/' || doc_id), lower(n)))) > 0 THEN 'V27' END AS rule FROM k""")
+def answer_rules(spark, sf):
+    """The first rule that an approval of each document breaks, its headline, caption and facts made of the document's own line."""
+    own = F.concat(F.lit("https://doc.example/"), F.col("doc_id"))
+    label = F.element_at(F.array(*map(F.lit, _LABELS)), F.length("line") % len(_LABELS) + 1)
+    fields = [
+        F.lit(True).alias("is_relevant"), label.alias("category"), F.col("headline").alias("catchy_headline"), F.col("caption").alias("facebook_caption"),
+        F.when(F.col("doc_id") % 19 == 0, "https://other.example/").otherwise(own).alias("original_url"), F.lit("").alias("rejection_reason"),
+    ]
+    d = copy_of(spark, sf).select("doc_id", F.to_json(F.struct(*fields)).alias("answer"), F.col("line").alias("title"), F.lit("").alias("summary"), F.lit("doc").alias("source_name"), own.alias("original_url"), label.alias("label"))
+    return rules.verdict(d).select("doc_id", X.category(F.col("label")).alias("category"), "rule")
 
 
 _LASTLINE = "string_split(text, chr(10))[-1]"
@@ -547,59 +640,6 @@ def domains_supported(spark, sf):
     return d.select("doc_id", F.array_join(X.unsupported_domains(F.col("last"), source), "|").alias("unsupported"))
 
 
-def _answer(**changes) -> str:
-    import json
-
-    a = {"is_relevant": False, "category": None, "catchy_headline": None, "facebook_caption": None, "original_url": None, "rejection_reason": "Sports news."} | changes
-    return json.dumps({k: v for k, v in a.items() if v != "drop"})
-
-
-_ANSWERS = [
-    "", "   ", "```json\n{}\n```", "not json", "[]", _answer(), _answer(extra=1), _answer(category="drop"), _answer(is_relevant="true"), _answer(is_relevant=1), _answer(rejection_reason=None),
-    _answer(rejection_reason="  "), _answer(rejection_reason="I cannot judge this."), _answer(rejection_reason="Against the editorial policy"), _answer(is_relevant=True, category="Gossip"), _answer(category=5),
-]
-_SIX = "[" + quoted(sorted(vocab.ANSWER_KEYS)) + "]"
-_TYPES = " AND ".join(f"json_type(j, '$.{k}') IN ('VARCHAR', 'NULL')" for k in vocab.ANSWER_KEYS if k != "is_relevant")
-
-
-@query(f"""WITH s AS (SELECT k, trim(t) AS t, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM (VALUES {", ".join("({}, '{}')".format(i, a.replace("'", "''")) for i, a in enumerate(_ANSWERS))}) v(k, t))
-  SELECT k, CASE WHEN t = '' THEN 'V01' WHEN contains(t, '```') THEN 'V02' WHEN NOT coalesce(json_type(j) = 'OBJECT' AND list_sort(json_keys(j)) = {_SIX} AND json_type(j, '$.is_relevant') = 'BOOLEAN' AND {_TYPES}, false) THEN 'V03'
-    WHEN j->>'$.is_relevant' = 'true' THEN CASE WHEN j->>'$.category' = 'Gossip' THEN 'V06' END
-    WHEN coalesce(trim(j->>'$.rejection_reason'), '') = '' THEN 'V04' WHEN regexp_matches(j->>'$.rejection_reason', '{vocab.LEAK}') OR regexp_matches(j->>'$.rejection_reason', '{vocab.REFUSAL.replace("'", "''")}') THEN 'V05' END AS rule FROM s""")
-def decision_contract(spark, sf):
-    rows = [(i, a, "t", "s", "src", "https://a.example/x") for i, a in enumerate(_ANSWERS)]
-    v = spark.createDataFrame(rows, "k int, answer string, title string, summary string, source_name string, original_url string")
-    return rules.verdict(v).select("k", "rule")
-
-
-#: One text per rule: (category, url from the article's, headline, what ends the caption's first sentence).
-_PLANT = "Robot maker opens a new plant near the old town"
-_CASES = [
-    (_GOOD := sorted(vocab.CATEGORY_ALIASES)[0], True, _PLANT, ""), (_GOOD, False, _PLANT, ""), (_GOOD, True, "Sorry, the system prompt hides what robots do in town", ""),
-    (_GOOD, True, _PLANT, "\u200b"), (_GOOD, True, "Robot maker says you should buy shares of the plant", ""), ("Gossip", True, _PLANT, ""), (_GOOD, True, _PLANT, ". Sell now"),
-]
-_CASE = f"doc_id % {len(_CASES)}"
-_CAPTION = "' writes about a robot maker that opens a plant near the old town this week"
-_pick = lambda k: f"[{', '.join(chr(39) + str(c[k]).replace(chr(39), chr(39) * 2) + chr(39) for c in _CASES)}][CAST({_CASE} + 1 AS INTEGER)]"
-
-
-@query(f"""WITH a AS (SELECT doc_id, {_pick(0)} AS category, {_pick(1)} = 'True' AS own, {_pick(2)} AS h, coalesce(source, 'desk') || {_CAPTION}' || {_pick(3)} || '. #robots #plants' AS c FROM documents)
-  SELECT doc_id, CASE WHEN category NOT IN ({quoted(sorted(vocab.CATEGORY_ALIASES))}) THEN 'V06' WHEN NOT own THEN 'V07' WHEN regexp_matches(h, '{vocab.LEAK}') OR regexp_matches(c, '{vocab.LEAK}') THEN 'V08'
-    WHEN regexp_matches(c, '\\p{{Cf}}') THEN 'V19' WHEN regexp_matches(h, '{vocab.ADVICE.replace("'", "''")}') OR regexp_matches(c, '{vocab.ADVICE.replace("'", "''")}') THEN 'V26' END AS rule FROM a""")
-def answer_rules(spark, sf):
-    pick = lambda k: F.element_at(F.array(*[F.lit(str(c[k])) for c in _CASES]), (F.col("doc_id") % len(_CASES) + 1).cast("int"))
-    own = F.concat(F.lit("https://doc.example/"), F.col("doc_id"))
-    caption = F.concat(F.coalesce("source", F.lit("desk")), F.lit(_CAPTION[1:]), pick(3), F.lit(". #robots #plants"))
-    fields = [
-        F.lit(True).alias("is_relevant"), pick(0).alias("category"), pick(2).alias("catchy_headline"), caption.alias("facebook_caption"),
-        F.when(pick(1) == "True", own).otherwise(F.lit("https://other.example/")).alias("original_url"), F.lit("").alias("rejection_reason"),
-    ]
-    d = read(spark, sf, "documents").select(
-        "doc_id", F.to_json(F.struct(*fields)).alias("answer"), F.coalesce("source", F.lit("desk")).alias("title"), F.lit("").alias("summary"), F.lit("doc").alias("source_name"), own.alias("original_url")
-    )
-    return rules.verdict(d).select("doc_id", "rule")
-
-
 # --- sink and layout ----------------------------------------------------------------------------------------------
 @query("""WITH r AS (SELECT event_id, CAST([200, 200, 500, 400, 403, 429, 302][CAST(event_id % 7 + 1 AS INTEGER)] AS INTEGER) AS status, user_id % 3 <> 0 AS has_error, CAST([1, 4, 10, 100, 190, 250, 613][CAST(user_id % 7 + 1 AS INTEGER)] AS INTEGER) AS code, event_id % 2 = 0 AS amb FROM events),
   c AS (SELECT *, status BETWEEN 200 AND 299 AS success, status = 429 OR code IN (4, 17, 32, 613, 80001) AS limited, code IN (102, 190, 10) OR code BETWEEN 200 AND 299 AS auth, code IN (1, 2) AS transient FROM r)
