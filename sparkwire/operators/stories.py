@@ -35,29 +35,40 @@ def _alike(percent: int, x: Column, y: Column) -> Column:
     return 100 * common >= percent * (F.size(x) + F.size(y) - common)
 
 
-def _prefixes(cells: DataFrame, percent: int) -> DataFrame:
-    """The rarest words of each cell: two sets that are alike share one of them."""
-    n = F.size("ranked")
-    length = n - F.ceil(F.lit(percent) * n / 100).cast("int") + 1
-    return cells.select("cell", "span", "n", "event_type", "entities", F.explode(F.slice("ranked", F.lit(1), length)).alias("word"))
+def _signature(keys: Column) -> list[Column]:
+    """128 bits, one set for each word: a bit that only one of two sets has is a word that the other one lacks."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
+    half = lambda want: F.aggregate(F.filter(keys, lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(1) == want), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(bit(k)))
+    return [half(0).alias("s0"), half(1).alias("s1")]
 
 
-def _candidates(prefixes: DataFrame, percent: int, key: list[str]) -> DataFrame:
-    """Pairs of cells with a rare word in common, of sizes that allow it, in one span or in two that touch."""
-    left = prefixes.select("cell", "n", F.col("span").alias("near"), *key)
-    right = prefixes.select(F.col("cell").alias("other"), F.col("n").alias("m"), F.explode(F.array(F.col("span"), F.col("span") + 1)).alias("near"), *key)
-    pairs = left.join(right, ["near", *key]).where((F.col("cell") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+def _prefixes(cells: DataFrame, percent: int) -> DataFrame:
+    """The rarest words of each cell: two sets that are alike share one of them."""
+    length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
+    return cells.select("cell", "span", "n", "s0", "s1", F.explode(F.slice("ranked", F.lit(1), length)).alias("key"))
+
+
+def _candidates(keyed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of cells with a key in common, in one span or in two that touch, whose sizes and signatures allow the likeness."""
+    left = keyed.select("cell", "n", "s0", "s1", F.col("span").alias("near"), "key")
+    touching = F.explode(F.array(F.struct(F.col("span").alias("near"), F.lit(False).alias("next")), F.struct((F.col("span") + 1).alias("near"), F.lit(True).alias("next")))).alias("x")
+    right = keyed.select(F.col("cell").alias("other"), F.col("n").alias("m"), F.col("s0").alias("t0"), F.col("s1").alias("t1"), "key", touching).select("other", "m", "t0", "t1", "key", "x.*")
+    lacking = lambda a, b: F.bit_count(F.col(f"{a}0").bitwiseAND(F.bitwise_not(f"{b}0"))) + F.bit_count(F.col(f"{a}1").bitwiseAND(F.bitwise_not(f"{b}1")))
+    common = F.least(F.col("n") - lacking("s", "t"), F.col("m") - lacking("t", "s"))  # at most
+    may = (F.col("next") | (F.col("cell") < F.col("other"))) & ((100 + percent) * common >= percent * (F.col("n") + F.col("m")))
+    pairs = left.join(right, ["near", "key"]).where(may)
     return pairs.select(F.least("cell", "other").alias("a"), F.greatest("cell", "other").alias("b")).distinct()
 
 
 def clusters(articles: DataFrame, hours: int = SAME_HOURS, alike: int = ALIKE, with_entity: int = ALIKE_WITH_ENTITY, pin: Callable[[DataFrame], DataFrame] = pinned) -> DataFrame:
-    """``articles`` (id, title, at, event_type, entities) with ``cluster_id``, the least id of their story.
+    """(id, cluster_id) of ``articles`` (id, title, at, event_type, entities): the least id of each one's story.
 
     Two articles tell one story if they are at most ``hours`` apart and their titles' words overlap (Jaccard) by ``alike`` percent, or by ``with_entity`` percent where they
     share an entity and the event type; stories are the closure. A title without words, or an article without a time, is a story of its own.
 
     Articles of equal words, entities and type within one span of ``hours`` are one cell, so a headline that everybody carries is one row in
-    the join. Cells meet by their rarest words (prefix filter) and sizes, and are then compared on all words. Cells of one span are always near
+    the join. Cells meet by their rarest words (prefix filter), or by an entity and the type, are held back if sizes or 128-bit signatures of their words rule the likeness
+    out, and are then compared on all words. Cells of one span are always near
     enough; those of two spans that touch are if the first one's last and the second one's first article are.
     """
     width = hours * 3600 * 1_000_000
@@ -66,34 +77,40 @@ def clusters(articles: DataFrame, hours: int = SAME_HOURS, alike: int = ALIKE, w
     named = rows.where((F.size("_words") > 0) & F.col("_at").isNotNull()).select("id", "_words", "event_type", "_entities", "_at", F.floor(F.col("_at") / width).alias("span"))
     cells = named.groupBy(F.col("_words").alias("words"), "event_type", F.col("_entities").alias("entities"), "span").agg(F.min("id").alias("cell"), F.min("_at").alias("first"), F.max("_at").alias("last"))
     cells = pin(cells.withColumn("n", F.size("words")))
-    rarity = cells.select("cell", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("held"))
-    ranked = cells.select("cell", F.explode("words").alias("word")).join(rarity, "word").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("held", "word"))).alias("_r"))
-    ranked = pin(cells.join(ranked.select("cell", F.col("_r.word").alias("ranked")), "cell").drop("words"))
-
-    entity = _prefixes(ranked, with_entity).select("cell", "span", "n", "event_type", "word", F.explode("entities").alias("entity"))
-    pairs = _candidates(_prefixes(ranked, alike), alike, ["word"]).withColumn("percent", F.lit(alike))
-    pairs = pairs.unionByName(_candidates(entity, with_entity, ["word", "event_type", "entity"]).withColumn("percent", F.lit(with_entity)))
-    pairs = pairs.groupBy("a", "b").agg(F.min("percent").alias("percent"))
-    # the entity's percentage holds for cells that met by an entity alone, so both bounds are tested by the lower one that may be used
-    of = lambda end: cells.select(F.col("cell").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("words", "span", "first", "last")])
+    # words are told by a hash where cells meet; what two cells have in common is counted on the words themselves
+    keyed = cells.withColumn("keys", F.transform("words", lambda w: F.xxhash64(w)))
+    each = keyed.select("cell", F.explode("keys").alias("key"))
+    rarity = each.groupBy("key").agg(F.count("*").alias("held"))
+    ranked = each.join(rarity, "key").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("held", "key")))["key"].alias("ranked"))
+    sized = keyed.select("cell", "span", "n", "event_type", "entities", *_signature(F.col("keys")))
+    ranked = pin(sized.join(ranked, "cell"))
+
+    entity = ranked.select("cell", "span", "n", "s0", "s1", F.explode("entities").alias("e"), "event_type").where(F.col("event_type").isNotNull())
+    entity = entity.select("cell", "span", "n", "s0", "s1", F.xxhash64("e", "event_type").alias("key"))
+    pairs = _candidates(_prefixes(ranked, alike), alike).withColumn("by_entity", F.lit(False))
+    pairs = pairs.unionByName(_candidates(entity, with_entity).withColumn("by_entity", F.lit(True)))
+    pairs = pairs.groupBy("a", "b").agg(F.max("by_entity").alias("by_entity"))
+    of = lambda end: cells.select(F.col("cell").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("words", "event_type", "entities", "span", "first", "last")])
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     gap = F.when(F.col("span_a") == F.col("span_b"), 0).when(F.col("span_a") < F.col("span_b"), F.col("first_b") - F.col("last_a")).otherwise(F.col("first_a") - F.col("last_b"))
-    close = (gap <= width) & _alike(F.col("percent"), F.col("words_a"), F.col("words_b"))
-    links = both.where(close).select("a", "b")
+    shared = F.col("by_entity") & F.coalesce(F.col("event_type_a") == F.col("event_type_b"), F.lit(False)) & F.arrays_overlap("entities_a", "entities_b")
+    same = _alike(alike, F.col("words_a"), F.col("words_b")) | (shared & _alike(with_entity, F.col("words_a"), F.col("words_b")))
+    links = both.where((gap <= width) & same).select("a", "b")
     roots = components(links, pin)
     member = named.join(cells.select("cell", *[F.col(c).alias(f"_{c}") for c in ("words", "event_type", "entities", "span")]).withColumnsRenamed({"_words": "w", "_entities": "e"}),
         (F.col("_words") == F.col("w")) & F.col("event_type").eqNullSafe(F.col("_event_type")) & (F.col("_entities") == F.col("e")) & (F.col("span") == F.col("_span")))
     member = member.select(F.col("id").alias("_id"), "cell").join(roots, F.col("cell") == F.col("node"), "left").select("_id", F.coalesce("root", "cell").alias("_cluster"))
-    out = articles.join(member, F.col("id") == F.col("_id"), "left")
-    return out.select(*articles.columns, F.coalesce("_cluster", "id").alias("cluster_id"))
+    out = articles.select("id").join(member, F.col("id") == F.col("_id"), "left")
+    return out.select("id", F.coalesce("_cluster", "id").alias("cluster_id"))
 
 
-def credited(articles: DataFrame) -> DataFrame:
-    """One row for each cluster: the article that gets the credit, by tier, then time, then the longer summary, then id; ``publishers``, and the ids of the others."""
-    first = F.struct("tier", F.col("at").isNull().alias("undated"), "at", (-F.length(F.coalesce("summary", F.lit("")))).alias("length"), "id")
-    rest = [c for c in articles.columns if c != "cluster_id"]
-    out = articles.groupBy("cluster_id").agg(F.min_by(F.struct(*rest), first).alias("_s"), F.countDistinct("publisher").alias("publishers"), F.count("*").alias("n_articles"))
-    return out.select("cluster_id", "publishers", "n_articles", "_s.*")
+def credited(articles: DataFrame, clustered: DataFrame) -> DataFrame:
+    """One row for each cluster of ``clustered`` (id, cluster_id): the article that gets the credit, by tier, then time, then the longer summary, then id; ``publishers`` and
+    ``n_articles``. Whole articles are joined to the ids that were chosen, so texts do not take part in the choice."""
+    small = articles.select("id", "tier", "at", "publisher", F.length(F.coalesce("summary", F.lit(""))).alias("_chars"))
+    first = F.struct("tier", F.col("at").isNull().alias("undated"), "at", (-F.col("_chars")).alias("length"), "id")
+    each = small.join(clustered, "id").groupBy("cluster_id").agg(F.min(first)["id"].alias("_id"), F.countDistinct("publisher").alias("publishers"), F.count("*").alias("n_articles"))
+    return each.join(articles, F.col("_id") == F.col("id")).drop("_id")
 
 
 def already_covered(stories: DataFrame, published: DataFrame, days: int = COVERED_DAYS) -> DataFrame:

@@ -221,7 +221,7 @@ def story_articles(spark, sf) -> DataFrame:
 @query(f"WITH RECURSIVE {_CLUSTERS} SELECT id, cluster_id FROM c")
 def title_clusters(spark, sf):
     """Which documents tell one story, by the words of their first lines."""
-    return stories.clusters(story_articles(spark, sf)).select("id", "cluster_id")
+    return stories.clusters(story_articles(spark, sf))
 
 
 _CREDITED = f"""{_CLUSTERS},
@@ -231,7 +231,8 @@ _CREDITED = f"""{_CLUSTERS},
 @query(f"WITH RECURSIVE {_CREDITED} SELECT cluster_id, s.id AS id, publishers, n_articles FROM s")
 def story_credit(spark, sf):
     """The article that gets the credit of each story."""
-    return stories.credited(stories.clusters(story_articles(spark, sf))).select("cluster_id", "id", "publishers", "n_articles")
+    told = story_articles(spark, sf)
+    return stories.credited(told, stories.clusters(told)).select("cluster_id", "id", "publishers", "n_articles")
 
 
 @query(f"""WITH RECURSIVE {_CREDITED},
@@ -251,7 +252,8 @@ def story_credit(spark, sf):
   SELECT slot, id, cluster_id, category, score FROM w WHERE n > 0""")
 def story_slots(spark, sf):
     """The story of every daily slot of the whole table's calendar."""
-    told = stories.credited(stories.clusters(story_articles(spark, sf)))
+    articles = story_articles(spark, sf)
+    told = stories.credited(articles, stories.clusters(articles))
     return stories.slots(told).withColumn("slot", F.col("slot").cast("timestamp_ntz"))
 
 
