@@ -138,3 +138,60 @@ def test_interrupted_work_is_recovered(spark, tmp_path):
         assert {r["id"]: (r["status"], r["error_stage"]) for r in store.current().collect()} == {1: ("DISCOVERED", None), 2: ("FAILED", "publish_unknown"), 3: ("READY_FOR_REVIEW", None)}
     new = {r["article_id"]: (r["from_status"], r["to_status"]) for r in store.read("events").where("run_id = 'r2'").collect()}
     assert new == {1: ("ANALYZING", "DISCOVERED"), 2: ("PUBLISHING", "FAILED")} and store.read("events").count() == 8
+
+
+def test_an_older_store_is_rebuilt_and_a_newer_one_refused(spark, tmp_path):
+    from sparkwire import store as module
+
+    old = tmp_path / "commits"
+    spark.createDataFrame([(1, "Startups & Funding"), (2, "AI"), (3, None), (4, "Gossip")], "id long, category string").write.parquet(str(old / "c1" / "articles"))
+    spark.createDataFrame([(5, "jobs")], "id long, category string").write.parquet(str(old / "c2" / "articles"))
+    spark.range(7).write.parquet(str(old / "c2" / "events"))
+    store = Store(spark, str(tmp_path))
+    got = {r["id"]: r["category"] for r in store.read("articles").collect()}
+    assert got == {1: "ENTREPRENEURSHIP", 2: "TECHNOLOGY", 3: None, 4: None, 5: "CAREER DEVELOPMENT"} and store.read("events").count() == 7
+    assert store.snapshots() == [1] and store.manifest()[1]["schema"] == module.SCHEMA
+    store.append("events", spark.range(2))
+    assert Store(spark, str(tmp_path)).read("events").count() == 9 and store.read("events", snapshot=1).count() == 7
+    number, manifest = store.manifest()
+    assert store._create(number + 1, manifest | {"schema": module.SCHEMA + 1})
+    with pytest.raises(module.StoreError, match="newer version"):
+        store.read("events")
+    with pytest.raises(module.StoreError, match="newer version"):
+        store.append("events", spark.range(1))
+
+
+def test_many_runs_are_one_short_listing(spark, tmp_path, monkeypatch):
+    from sparkwire import store as module
+
+    monkeypatch.setattr(module, "FOLDERS", 4)
+    monkeypatch.setattr(module, "SNAPSHOTS", 3)
+    store = Store(spark, str(tmp_path))
+    for i in range(11):
+        store.commit(runs=spark.createDataFrame([(i,)], "n long"))
+    assert sorted(r["n"] for r in store.read("runs").collect()) == list(range(11))
+    assert len(store.snapshots()) == 3 and len(store.manifest()[1]["tables"]["runs"]) <= 5
+    assert len(list((tmp_path / "data").glob("*/runs"))) <= 12 and len(list((tmp_path / "manifest").glob("*.json"))) == 3
+    assert not list((tmp_path / "manifest").glob("*.writing"))
+    assert sorted(r["n"] for r in store.read("runs", snapshot=store.snapshots()[0]).collect()) == list(range(9))[: store.read("runs", snapshot=store.snapshots()[0]).count()]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    a, b = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    real = a._create
+
+    def late(number, manifest):
+        a._create = real
+        b.append("t", spark.range(5))  # the other writer takes the number first
+        return real(number, manifest)
+
+    a._create = late
+    a.append("t", spark.range(3))
+    assert a.read("t").count() == 8 and a.snapshots() == [1, 2]
+
+
+def test_later_columns_are_null_in_older_rows(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.append("t", spark.createDataFrame([(1,)], "n long"))
+    store.append("t", spark.createDataFrame([(2, "x")], "n long, more string"))
+    assert sorted(map(tuple, store.read("t").collect())) == [(1, None), (2, "x")]
