@@ -114,12 +114,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         lease.acquire(run_id, datetime.fromisoformat(now))
         try:
             store.start(run_id, "dry-run", now)
-            store.recover(run_id, now)
-            answers = spark.read.schema("original_url string, answer string").json(args.answers) if args.answers else spark.createDataFrame([], "original_url string, answer string")
-            run = curate.run(docs, answers, store.read("articles"), now, run_id, args.limit or s.max_articles_per_run, hours)
-            # articles and their events become visible together
-            made = store.commit(articles=run.articles.drop("card"), events=lambda done: curate.events_of(done["articles"], run_id, now))
-            summary = reports.run_summary(run.classes, made["articles"]).first().asDict()
+            recovered = store.recover(run_id, now)
+            answers = spark.read.schema("original_url string, answer string, correction string, error string").json(args.answers) if args.answers else spark.createDataFrame([], "original_url string, answer string")
+            run = curate.run(docs, answers, store.read("articles"), now, run_id, args.limit or s.max_articles_per_run, hours, current=store.current(), retries=s.max_retries_per_article)
+            counters, by = reports.Counters(), F.lit(run_id)
+            # articles, their events and what the run saw become visible together
+            store.commit(
+                articles=counters.articles(run.articles.drop("card")), events=lambda done: curate.events_of(done["articles"], run_id, now),
+                sightings=counters.funnel(run.classes.select("url_hash", "source_name", "published_at", "class", by.alias("run_id"))), feed_health=counters.feeds(run.health.withColumn("run_id", by)),
+            )
+            summary = counters.values(recovered=recovered)
             store.finish(run_id, "dry-run", now, now, "ok", summary)
             print(reports.format_summary(summary))
         finally:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparkwire import vocab
@@ -38,20 +38,42 @@ def recent_runs(runs: DataFrame, limit: int = 5) -> DataFrame:
     return runs.orderBy(F.col("started_at").desc()).limit(limit)
 
 
-def run_summary(classes: DataFrame, current: DataFrame) -> DataFrame:
-    """One row with the counters of a run, from its funnel classes and its articles."""
-    c = classes.agg(
-        F.count("*").alias("fetched"),
-        *[F.count_if(F.col("class") == k).alias(k) for k in ("undated", "too_old", "duplicate", "fresh")],
-    )
-    s = current.agg(
-        F.count_if(F.col("status").isin(*vocab.NEEDS_CONTENT)).alias("approved"),
-        F.count_if((F.col("status") == "REJECTED") & F.col("twin_of").isNull()).alias("rejected"),
-        F.count_if(F.col("twin_of").isNotNull()).alias("same_story"),
-        F.count_if(F.col("status") == "FAILED").alias("failed"),
-        F.count_if(F.col("status") == "READY_FOR_REVIEW").alias("ready_for_review"),
-    )
-    return c.crossJoin(s)  # one row each
+#: The counters of a run, in the order of its report.
+COUNTERS = (
+    "feeds_ok", "feeds_failed", "fetched", "too_old", "undated", "duplicates", "same_story", "analyzed", "approved", "rejected", "failed", "ready_for_review", "recovered", "resumed", "facebook_writes",
+)
+
+
+class Counters:
+    """A run's counters, taken in the passes that write its tables: nothing is read twice to be counted."""
+
+    def __init__(self) -> None:
+        self._seen: list[Observation] = []
+
+    def _watched(self, df: DataFrame, **metrics: Column) -> DataFrame:
+        o = Observation()
+        self._seen.append(o)
+        return df.observe(o, *[m.alias(k) for k, m in metrics.items()])
+
+    def feeds(self, health: DataFrame) -> DataFrame:
+        return self._watched(health, feeds_ok=F.count_if(F.col("error").isNull()), feeds_failed=F.count_if(F.col("error").isNotNull()))
+
+    def funnel(self, classes: DataFrame) -> DataFrame:
+        of = lambda k: F.count_if(F.col("class") == k)
+        return self._watched(classes, fetched=F.count("*"), too_old=of("too_old"), undated=of("undated"), duplicates=of("duplicate"))
+
+    def articles(self, judged: DataFrame) -> DataFrame:
+        answered = F.coalesce(F.col("outcome").isin("approved", "rejected"), F.lit(False))
+        twin, s = F.col("twin_of").isNotNull(), F.col("status")
+        return self._watched(
+            judged, same_story=F.count_if(twin), analyzed=F.count_if(answered), approved=F.count_if(answered & (F.col("outcome") == "approved")), rejected=F.count_if(answered & (F.col("outcome") == "rejected")),
+            failed=F.count_if(s == "FAILED"), ready_for_review=F.count_if(s == "READY_FOR_REVIEW"), resumed=F.count_if(~F.col("is_new")),
+        )
+
+    def values(self, **known: int) -> dict[str, int]:
+        """All counters once the watched tables are written; those that no pass counts are given."""
+        got = {k: v for o in self._seen for k, v in o.get.items()} | known
+        return {k: int(got.get(k, 0) or 0) for k in COUNTERS}
 
 
 def audit_trail(events: DataFrame, article_id: int) -> DataFrame:

@@ -51,7 +51,7 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert "[OK] A: 2 fresh of 2" in (out := capsys.readouterr().out) and "[FAIL] B: HTTP 404" in out
     for _ in range(2):
         assert run("--documents", str(docs), "--answers", str(tmp_path / "answers.json")) == 0
-    assert "duplicate: 2" in capsys.readouterr().out
+    assert "duplicates: 2" in capsys.readouterr().out
     assert run("--status") == 0
     out = capsys.readouterr().out
     assert out.splitlines()[:3] == ["REJECTED           1", "READY_FOR_REVIEW   1", "total              2"] and out.count("dry-run ok") == 2
