@@ -30,7 +30,7 @@ def title_words(title: Column) -> Column:
     return F.array_sort(F.array_except(F.array_distinct(words), F.array(*map(F.lit, COMMON_WORDS))))
 
 
-def _alike(percent: int, x: Column, y: Column) -> Column:
+def _alike(percent: Column, x: Column, y: Column) -> Column:
     common = F.size(F.array_intersect(x, y))
     return 100 * common >= percent * (F.size(x) + F.size(y) - common)
 
@@ -45,19 +45,44 @@ def _signature(keys: Column) -> list[Column]:
 def _prefixes(cells: DataFrame, percent: int) -> DataFrame:
     """The rarest words of each cell: two sets that are alike share one of them."""
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
-    return cells.select("cell", "span", "n", "s0", "s1", F.explode(F.slice("ranked", F.lit(1), length)).alias("key"))
+    return cells.select("cell", "span", "n", "s0", "s1", "first", "last", F.explode(F.slice("ranked", F.lit(1), length)).alias("key"))
 
 
-def _candidates(keyed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of cells with a key in common, in one span or in two that touch, whose sizes and signatures allow the likeness."""
-    left = keyed.select("cell", "n", "s0", "s1", F.col("span").alias("near"), "key")
-    touching = F.explode(F.array(F.struct(F.col("span").alias("near"), F.lit(False).alias("next")), F.struct((F.col("span") + 1).alias("near"), F.lit(True).alias("next")))).alias("x")
-    right = keyed.select(F.col("cell").alias("other"), F.col("n").alias("m"), F.col("s0").alias("t0"), F.col("s1").alias("t1"), "key", touching).select("other", "m", "t0", "t1", "key", "x.*")
-    lacking = lambda a, b: F.bit_count(F.col(f"{a}0").bitwiseAND(F.bitwise_not(f"{b}0"))) + F.bit_count(F.col(f"{a}1").bitwiseAND(F.bitwise_not(f"{b}1")))
-    common = F.least(F.col("n") - lacking("s", "t"), F.col("m") - lacking("t", "s"))  # at most
-    may = (F.col("next") | (F.col("cell") < F.col("other"))) & ((100 + percent) * common >= percent * (F.col("n") + F.col("m")))
-    pairs = left.join(right, ["near", "key"]).where(may)
-    return pairs.select(F.least("cell", "other").alias("a"), F.greatest("cell", "other").alias("b")).distinct()
+_END = ("cell", "n", "s0", "s1", "first", "last", "earlier", "root")
+
+
+def _both_spans(keyed: DataFrame) -> DataFrame:
+    """Each row where it meets others: in its own span, and as the earlier one in the next."""
+    there = F.explode(F.array(F.struct(F.col("span").alias("near"), F.lit(False).alias("earlier")), F.struct((F.col("span") + 1).alias("near"), F.lit(True).alias("earlier")))).alias("x")
+    return keyed.select(*[c for c in keyed.columns if c != "span"], there).select(*[c for c in keyed.columns if c != "span"], "x.*")
+
+
+def _may(a: str, b: str, percent: int, width: int) -> Column:
+    """Whether times allow two ends of a pair, and sizes and signatures do not rule the likeness out."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    lacking = lambda p, q: F.bit_count(p("s0").bitwiseAND(F.bitwise_not(q("s0")))) + F.bit_count(p("s1").bitwiseAND(F.bitwise_not(q("s1"))))
+    common = F.least(x("n") - lacking(x, y), y("n") - lacking(y, x))  # at most
+    gap = F.when(x("earlier") == y("earlier"), 0).when(x("earlier"), y("first") - x("last")).otherwise(x("first") - y("last"))
+    return (x("cell") != y("cell")) & (gap <= width) & ((100 + percent) * common >= percent * (x("n") + y("n")))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("x.cell", "y.cell").alias("a"), F.greatest("x.cell", "y.cell").alias("b")).distinct()
+
+
+def _with_least(keyed: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs of each key's cells with the least of them: as many as there are rows, however large a group is."""
+    rows = _both_spans(keyed).select("near", "key", F.struct(*_END).alias("x"))
+    least = rows.groupBy("near", "key").agg(F.min("x").alias("y"))
+    return _pairs(rows.join(least, ["near", "key"]).where(_may("x", "y", percent, width)))
+
+
+def _with_all(keyed: DataFrame, percent: int, width: int) -> DataFrame:
+    """All pairs of each key's cells that are not in one component yet."""
+    ends = lambda df, name: df.select("near", "key", F.struct(*_END).alias(name))
+    left = ends(keyed.withColumn("earlier", F.lit(False)).withColumnRenamed("span", "near"), "x")
+    apart = (F.col("x.root") != F.col("y.root")) & (F.col("y.earlier") | (F.col("x.cell") < F.col("y.cell")))
+    return _pairs(left.join(ends(_both_spans(keyed), "y"), ["near", "key"]).where(apart & _may("x", "y", percent, width)))
 
 
 def clusters(articles: DataFrame, hours: int = SAME_HOURS, alike: int = ALIKE, with_entity: int = ALIKE_WITH_ENTITY, pin: Callable[[DataFrame], DataFrame] = pinned) -> DataFrame:
@@ -66,41 +91,43 @@ def clusters(articles: DataFrame, hours: int = SAME_HOURS, alike: int = ALIKE, w
     Two articles tell one story if they are at most ``hours`` apart and their titles' words overlap (Jaccard) by ``alike`` percent, or by ``with_entity`` percent where they
     share an entity and the event type; stories are the closure. A title without words, or an article without a time, is a story of its own.
 
-    Articles of equal words, entities and type within one span of ``hours`` are one cell, so a headline that everybody carries is one row in
-    the join. Cells meet by their rarest words (prefix filter), or by an entity and the type, are held back if sizes or 128-bit signatures of their words rule the likeness
-    out, and are then compared on all words. Cells of one span are always near
-    enough; those of two spans that touch are if the first one's last and the second one's first article are.
+    Articles of equal words within one span of ``hours`` are one cell, so a headline that everybody carries is one row. Cells meet by their rarest words (prefix
+    filter), or by an entity and a type that they have in times near enough; sizes and 128-bit signatures of the words rule most pairs out, and the rest are
+    compared on all words. First each cell meets the least one of its group; then all pairs meet that this has not brought into one story yet. So a large group of near
+    copies costs what its size is, and no link between stories is lost.
     """
     width = hours * 3600 * 1_000_000
     rows = articles.withColumns({"_words": title_words(F.col("title")), "_at": F.unix_micros(F.col("at").cast("timestamp"))})
-    rows = rows.withColumn("_entities", F.array_sort(F.array_distinct(F.coalesce("entities", F.array().cast("array<string>")))))
-    named = rows.where((F.size("_words") > 0) & F.col("_at").isNotNull()).select("id", "_words", "event_type", "_entities", "_at", F.floor(F.col("_at") / width).alias("span"))
-    cells = named.groupBy(F.col("_words").alias("words"), "event_type", F.col("_entities").alias("entities"), "span").agg(F.min("id").alias("cell"), F.min("_at").alias("first"), F.max("_at").alias("last"))
-    cells = pin(cells.withColumn("n", F.size("words")))
+    rows = rows.where((F.size("_words") > 0) & F.col("_at").isNotNull())
+    named = pin(rows.select("id", F.col("_words").alias("words"), "event_type", "entities", F.col("_at").alias("t"), F.floor(F.col("_at") / width).alias("span")))
+    cells = pin(named.groupBy("words", "span").agg(F.min("id").alias("cell"), F.min("t").alias("first"), F.max("t").alias("last")).withColumn("n", F.size("words")))
+    member = pin(named.join(cells.select("words", "span", "cell"), ["words", "span"]).select("id", "cell", "t", "event_type", "entities"))
     # words are told by a hash where cells meet; what two cells have in common is counted on the words themselves
     keyed = cells.withColumn("keys", F.transform("words", lambda w: F.xxhash64(w)))
     each = keyed.select("cell", F.explode("keys").alias("key"))
     rarity = each.groupBy("key").agg(F.count("*").alias("held"))
     ranked = each.join(rarity, "key").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("held", "key")))["key"].alias("ranked"))
-    sized = keyed.select("cell", "span", "n", "event_type", "entities", *_signature(F.col("keys")))
-    ranked = pin(sized.join(ranked, "cell"))
-
-    entity = ranked.select("cell", "span", "n", "s0", "s1", F.explode("entities").alias("e"), "event_type").where(F.col("event_type").isNotNull())
-    entity = entity.select("cell", "span", "n", "s0", "s1", F.xxhash64("e", "event_type").alias("key"))
-    pairs = _candidates(_prefixes(ranked, alike), alike).withColumn("by_entity", F.lit(False))
-    pairs = pairs.unionByName(_candidates(entity, with_entity).withColumn("by_entity", F.lit(True)))
-    pairs = pairs.groupBy("a", "b").agg(F.max("by_entity").alias("by_entity"))
-    of = lambda end: cells.select(F.col("cell").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("words", "event_type", "entities", "span", "first", "last")])
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    gap = F.when(F.col("span_a") == F.col("span_b"), 0).when(F.col("span_a") < F.col("span_b"), F.col("first_b") - F.col("last_a")).otherwise(F.col("first_a") - F.col("last_b"))
-    shared = F.col("by_entity") & F.coalesce(F.col("event_type_a") == F.col("event_type_b"), F.lit(False)) & F.arrays_overlap("entities_a", "entities_b")
-    same = _alike(alike, F.col("words_a"), F.col("words_b")) | (shared & _alike(with_entity, F.col("words_a"), F.col("words_b")))
-    links = both.where((gap <= width) & same).select("a", "b")
-    roots = components(links, pin)
-    member = named.join(cells.select("cell", *[F.col(c).alias(f"_{c}") for c in ("words", "event_type", "entities", "span")]).withColumnsRenamed({"_words": "w", "_entities": "e"}),
-        (F.col("_words") == F.col("w")) & F.col("event_type").eqNullSafe(F.col("_event_type")) & (F.col("_entities") == F.col("e")) & (F.col("span") == F.col("_span")))
-    member = member.select(F.col("id").alias("_id"), "cell").join(roots, F.col("cell") == F.col("node"), "left").select("_id", F.coalesce("root", "cell").alias("_cluster"))
-    out = articles.select("id").join(member, F.col("id") == F.col("_id"), "left")
+    ranked = pin(keyed.select("cell", "span", "n", "first", "last", *_signature(F.col("keys"))).join(ranked, "cell"))
+    by_word = _prefixes(ranked, alike)
+    told = member.where(F.col("event_type").isNotNull()).select("cell", "t", "event_type", F.explode(F.array_distinct("entities")).alias("e")).where(F.col("e").isNotNull())
+    told = told.groupBy("cell", "event_type", "e").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    by_entity = told.join(ranked.select("cell", "span", "n", "s0", "s1"), "cell").select("cell", "span", "n", "s0", "s1", "first", "last", F.xxhash64("event_type", "e").alias("key"))
+
+    words = cells.select("cell", "words")
+
+    def links(meet: Callable, *keyed: DataFrame) -> DataFrame:
+        pairs = meet(keyed[0], alike, width).withColumn("percent", F.lit(alike)).unionByName(meet(keyed[1], with_entity, width).withColumn("percent", F.lit(with_entity)))
+        pairs = pairs.groupBy("a", "b").agg(F.min("percent").alias("percent"))
+        both = pairs.join(words.select(F.col("cell").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("cell").alias("b"), F.col("words").alias("y")), "b")
+        return pin(both.where(_alike(F.col("percent"), F.col("x"), F.col("y"))).select("a", "b"))
+
+    none = F.lit(None).cast(cells.schema["cell"].dataType)
+    near = links(_with_least, *[k.withColumn("root", none) for k in (by_word, by_entity)])
+    roots = components(near, pin).select(F.col("node").alias("cell"), "root")
+    rooted = [k.join(roots, "cell", "left").withColumn("root", F.coalesce("root", "cell")) for k in (by_word, by_entity)]
+    found = components(near.unionByName(links(_with_all, *rooted)), pin)
+    placed = member.join(found, F.col("cell") == F.col("node"), "left").select(F.col("id").alias("_id"), F.coalesce("root", "cell").alias("_cluster"))
+    out = articles.select("id").join(placed, F.col("id") == F.col("_id"), "left")
     return out.select("id", F.coalesce("_cluster", "id").alias("cluster_id"))
 
 
