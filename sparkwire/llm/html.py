@@ -3,13 +3,18 @@
 One pass reads a page as a stream of tags with a stack, and hashes each element's subtree (tag,
 class, text and children) when it closes. Subtrees are counted per host in Spark, over the
 host's different pages; those on a large share of them are the site's template and are deleted in a
-second pass. What HTML itself says is not the article (scripts, navigation, forms, elements that a class or
-id calls an advert, a notice, comments ...) is dropped as it is read. Where ``article`` or ``main`` elements hold the larger
-part of what is then left of a page, only these count; a smaller one is a teaser beside the text, and all is kept.
+second pass. What HTML itself says is not the article (scripts, navigation, forms, hidden elements ...) is dropped as it is read.
+
+Adverts, notices and readers' comments have a text of their own on every page, so counting texts does not find them. Two things do: a class or id that is
+exactly one of a few names that mean nothing else (``_CERTAIN``), and a place that recurs: an element whose class or id ends in a
+word for such things is deleted if the same element, whatever its text, is on a large share of the host's pages with less than half of their text. A
+name alone that could be a story's deletes nothing. What stands outside ``article`` or ``main`` stays unless one of these finds it.
+
+Reading takes time in proportion to the page: no part of it is scanned twice, however its tags are broken or nested.
 
 Cases: a null or empty html gives an empty text; a null url is a host of its own; repeated pages count once
 towards a template; a host with fewer different pages than ``Template.pages`` has no template, and what its tags and
-names don't drop is kept; unclosed and crossing tags close as browsers close them; pages of any length are
+certain names don't drop is kept; unclosed and crossing tags close as browsers close them; pages of any length are
 read whole; an empty table gives an empty one; other columns are not read.
 """
 
@@ -17,8 +22,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from hashlib import blake2b
 
 import numpy as np
@@ -37,9 +44,8 @@ class Template:
     share: float = 0.3
 
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
@@ -63,144 +69,221 @@ _CLOSES = {
     "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}),
 }
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
-#: What a class or id names that is no part of an article.
-_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promotion promotions banner "
-    "banners cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter newsletters subscribe subscription paywall "
-    "signup signin login sidebar sidebars rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer comment "
-    "comments commentlist reply replies respond disqus share sharing social related recommended recommendations pagination pager toolbar search".split()
+#: Names of adverts, notices and readers' comments that mean nothing else, whole.
+_CERTAIN = frozenset(
+    "ad ads advert adverts advertisement advertisements adsbygoogle ad-slot ad-container ad-banner banner-ad comment comments comment-body comment-list commentlist comments-area "
+    "reader-comments user-comments cookie-banner cookie-bar cookie-consent cookie-notice disqus_thread newsletter-signup sidebar".split()
+)
+#: What a name can end in that is no part of an article; it decides only where the element recurs on the host.
+_NAMES = _CERTAIN | frozenset(
+    "adv advertising adsense adslot sponsor sponsored sponsors promo promos promotion promotions banner banners cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay "
+    "newsletter newsletters subscribe subscription paywall signup signin login rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar header footer reply "
+    "replies respond disqus share sharing social related recommended recommendations pagination pager toolbar search".split()
 )
 #: Words after which the name still means what the word before says: a share-box is for sharing, share-prices are not.
 _SHELL = frozenset("area bar block body box button buttons container content form group holder icon icons inner item items link links list panel row section slot text unit wrap wrapper".split())
-#: Names that also hold as the first of several words, whatever follows.
-_FIRST = frozenset("ad ads advert adverts advertisement adsense adslot sponsored promo cookie cookies consent gdpr newsletter popup sidebar navbar comment comments disqus footer".split())
-#: Those of the names that an ``article`` of its own may have: a comment or a teaser.
-_TEASERS = frozenset("ad ads advert promo sponsored comment comments reply replies related recommended".split())
-
-
-def _named(value: str, names: frozenset[str]) -> bool:
-    """Whether one of a class's or id's names is among ``names``: by its last word that is no mere shell, or by its first."""
-    for token in value.split():
-        words = [w.lower() for w in _WORDS.findall(token)]
-        while len(words) > 1 and (words[-1] in _SHELL or words[-1].isdigit()):
-            words.pop()
-        if words and (words[-1] in names or words[0] in names & _FIRST):
-            return True
-    return False
-
-
-def _marks(tag: str, attributes: str) -> tuple[bool, bool, str]:
-    """(to be dropped, is the article, the class) from a tag's attributes."""
-    drop = article = False
-    cls = ""
-    names = _TEASERS if tag == "article" else _NAMES
+
+
+def _ends_in(token: str) -> str:
+    """The last word of a name that is no mere shell and no number."""
+    words = [w.lower() for w in _WORDS.findall(token)]
+    while len(words) > 1 and (words[-1] in _SHELL or words[-1].isdigit()):
+        words.pop()
+    return words[-1] if words else ""
+
+
+def _marks(tag: str, attributes: str) -> tuple[bool, int | None, str]:
+    """(to be dropped, the place if its name is one that may recur, the class) from a tag's attributes."""
+    drop = telling = False
+    cls = ident = ""
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            words = {w.lower() for w in _WORDS.findall(value)}
-            drop |= _named(value, names)
-            drop |= tag != "article" and "header" in words and words.isdisjoint(("article", "entry", "post"))
+            for token in value.split():
+                drop |= token.lower().rstrip("0123456789").rstrip("-_") in _CERTAIN
+                telling |= _ends_in(token) in _NAMES
             if name == "class":
                 cls = value
+            else:
+                ident = value
         elif name == "role":
             drop |= value.lower() in _ROLES
-            article |= value.lower() in ("main", "article")
         elif name == "hidden":
             drop = True
         elif name == "aria-hidden":
             drop |= value.lower() == "true"
-        elif name == "itemprop":
-            article |= value.lower() == "articlebody"
-    return drop and tag not in ("html", "body", "main"), article, cls
+    if tag in ("html", "body", "main"):
+        return False, None, cls
+    place = int.from_bytes(blake2b("\0".join(["place", tag, cls, re.sub(r"\d+", "0", ident)]).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) if telling else None
+    return drop, place, cls
+
+
+class _Stack:
+    """Open elements, with where each tag is open, so that no search walks through them."""
+
+    def __init__(self) -> None:
+        # an entry: tag, first piece, dropped, in an article, class, what it holds, its place
+        self.items: list[list] = [["", 0, False, False, "", [], None]]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, entry: list) -> None:
+        self.at.setdefault(entry[0], []).append(len(self.items))
+        if entry[0] in _BLOCK:
+            self.blocks.append(len(self.items))
+        self.items.append(entry)
+
+    def pop(self) -> list:
+        entry = self.items.pop()
+        self.at[entry[0]].pop()
+        if entry[0] in _BLOCK:
+            self.blocks.pop()
+        return entry
+
+    def top_of(self, *tags: str) -> int:
+        """The place of the innermost open element with one of the tags; 0 for none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def lowest_above(self, bound: int, *tags: str) -> int:
+        """The place of the outermost open element with one of the tags that is inside the bound; 0 for none."""
+        found = (a[i] for t in tags if (a := self.at.get(t)) and (i := bisect_right(a, bound)) < len(a))
+        return min(found, default=0)
 
 
 def read(page: str, template: frozenset[int] = frozenset()) -> tuple[str, list[int]]:
-    """The main text, and the hashes of the subtrees that are not dropped."""
-    # a stack entry: tag, first piece, dropped, in an article, class, what it holds
-    stack: list[list] = [["", 0, False, False, "", []]]
-    pieces: list[tuple[str | None, bool]] = []
+    """The main text, and the hashes of the subtrees and places that are not dropped."""
+    stack = _Stack()
+    pieces: list[str | None] = []  # None is a border of blocks
+    places: list[tuple[int, int, int]] = []  # place, first and last piece of elements that may recur by place
     hashes: list[int] = []
 
     def close() -> None:
-        tag, first, dropped, inside, cls, held = stack.pop()
-        if tag in _BLOCK and not dropped:
-            pieces.append((None, inside))
-        if not dropped and held:
-            digest = blake2b("\0".join([tag, cls, *held]).encode("utf-8", "replace"), digest_size=8).digest()
+        tag, first, dropped, _, cls, held, place = stack.pop()
+        block = tag in _BLOCK
+        if dropped:
+            return
+        if place is not None and held:
+            places.append((place, first, len(pieces)))
+        if block:
+            pieces.append(None)
+        if not held:
+            return
+        digest = blake2b("\0".join([tag, cls, *held]).encode("utf-8", "replace"), digest_size=8).digest()
+        stack.items[-1][5].append(digest.hex())
+        if block:
             h = int.from_bytes(digest, "little", signed=True)
-            if tag in _BLOCK:
-                hashes.append(h)
-                if h in template:
-                    del pieces[first:]
-                    pieces.append((None, inside))
-                    return
-            stack[-1][5].append(digest.hex())
+            hashes.append(h)
+            if h in template:
+                del pieces[first:]
+                pieces.append(None)
+                while places and places[-1][1] >= first:
+                    places.pop()
+
+    def close_to(depth: int) -> None:
+        while len(stack.items) > depth:
+            close()
 
     def text(run: str) -> None:
-        top = stack[-1]
+        top = stack.items[-1]
         if top[2] or not run:
             return
         run = entities.unescape(run)
-        pieces.append((run, top[3]))
+        pieces.append(run)
         if run and not run.isspace():
             top[5].append(" ".join(run.split()))
 
-    at = 0
+    at = start = 0  # what lies between is text that was not given on yet
+    tags = _TAG
     while True:
-        m = _TOKEN.search(page, at)
-        text(page[at : m.start()] if m else page[at:])
-        if not m:
+        i = page.find("<", at)
+        if i < 0 or i + 1 == len(page):
             break
-        at = m.end()
-        slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if tag is None:
+        if page[i + 1] in "!?":
+            comment = page.startswith("<!--", i)
+            end = page.find("-->", i + 4) if comment else page.find(">", i)
+            if end < 0 and not comment:
+                break  # no tag ends any more
+            text(page[start:i])
+            at = start = len(page) if end < 0 else end + (3 if comment else 1)
             continue
-        tag = tag.lower()
+        m = tags.match(page, i)
+        if not m:
+            if page[i + 1 : i + 2] != "/" and not _is_letter(page[i + 1]) or page[i + 1] == "/" and not _is_letter(page[i + 2 : i + 3]):
+                at = i + 1
+                continue
+            tags = _PLAIN_TAG  # a quote stays open to the end: from here on a tag ends at the next >
+            m = tags.match(page, i)
+            if not m:
+                break
+        if i > start:
+            text(page[start:i])
+        at = start = m.end()
+        slash, tag, attributes = m[1], m[2].lower(), m[3]
         if slash:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if depth and (tag in _BLOCK or not any(e[0] in _BLOCK for e in stack[depth + 1 :])):
-                while len(stack) > depth:
-                    close()
+            depth = stack.top_of(tag)
+            if depth and (tag in _BLOCK or not stack.blocks or stack.blocks[-1] <= depth):
+                close_to(depth)
             continue
         if tag in _VOID:
             # a line break is a space; other empty elements, as wbr or img, stand inside words
-            if tag in ("hr", "br") and not stack[-1][2]:
-                pieces.append((None if tag == "hr" else " ", stack[-1][3]))
+            if tag in ("hr", "br") and not stack.items[-1][2]:
+                pieces.append(None if tag == "hr" else " ")
             continue
-        closes, scope = _CLOSES.get(tag, (None, None))
         if tag in _BLOCK:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p" or closes and stack[i][0] in closes:
-                    while len(stack) > i:
-                        close()
-                    if not closes:
-                        break
-                elif scope and stack[i][0] in scope or not scope and stack[i][0] in ("td", "th", "article", "section", "div", "button"):
-                    break
-        top = stack[-1]
+            closes, scope = _CLOSES.get(tag, (None, None))
+            if closes:
+                depth = stack.lowest_above(stack.top_of(*scope), "p", *closes)
+            else:
+                depth = stack.top_of("p")
+                depth = depth if depth > stack.top_of("td", "th", "article", "section", "div", "button") else 0
+            if depth:
+                close_to(depth)
+        top = stack.items[-1]
         dropped = top[2] or tag in _DROP or tag == "header" and not top[3]
-        marked, article, cls = _marks(tag, attributes) if attributes and not dropped else (False, False, "")
+        marked, place, cls = _marks(tag, attributes) if attributes and not dropped else (False, None, "")
         dropped = dropped or marked
-        inside = top[3] or not dropped and (article or tag in ("article", "main"))
         if tag in _BLOCK and not dropped:
-            pieces.append((None, top[3]))
-        stack.append([tag, len(pieces), dropped, inside, cls, []])
+            pieces.append(None)
+        stack.push([tag, len(pieces), dropped, top[3] or tag in ("article", "main"), cls, [], place])
         if tag in _RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
-            at = end.start() if end else len(page)
-    while len(stack) > 1:
-        close()
-    inside, whole = (sum(len(t) - t.count(" ") for t, article in pieces if t and (article or not only)) for only in (True, False))
-    if inside and 2 * inside >= whole:
-        pieces = [p for p in pieces if p[1]]
+            close_tag = _raw_end(tag).search(page, at)
+            at = start = close_tag.start() if close_tag else len(page)
+    text(page[start:])
+    close_to(1)
+    size = [0]
+    for t in pieces:
+        size.append(size[-1] + (len(t) - t.count(" ") if t else 0))
+    # a place counts where it holds less than half of the page
+    hashes += [p for p, first, last in places if 2 * (size[last] - size[first]) < size[-1]]
+    return _joined(pieces, [(first, last) for p, first, last in places if p in template]), hashes
+
+
+def _is_letter(c: str) -> bool:
+    return c.isascii() and c.isalpha()
+
+
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])", re.I)
+
+
+def _joined(pieces: list[str | None], gone: list[tuple[int, int]]) -> str:
+    """Blocks of text, one to a line, without some ranges of pieces."""
+    out = [False] * (len(pieces) + 1)
+    done = 0
+    for first, last in sorted(gone):
+        if last > done:  # places may lie in one another
+            out[max(first, done) : last] = [True] * (last - max(first, done))
+            done = last
     blocks, now = [], []
-    for t, _ in [*pieces, (None, True)]:
-        if t is not None:
+    for t, dropped in zip([*pieces, None], out, strict=True):
+        if t is None or dropped:
+            if now:
+                blocks.append(" ".join("".join(now).split()))
+                now = []
+        else:
             now.append(t)
-        elif now:
-            blocks.append(" ".join("".join(now).split()))
-            now = []
-    return "\n".join(b for b in blocks if b), hashes
+    return "\n".join(b for b in blocks if b)
 
 
 def _host(url: Column) -> Column:

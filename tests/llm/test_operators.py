@@ -567,8 +567,11 @@ def test_html_structure():
 def test_html_names_and_teasers():
     page = """<div id="share-prices"><p>Prices fell</p></div><div class="search-results-story"><p>Found</p></div><div class="share-box">Tell</div>
     <div class="col ad-slot-2">Buy</div><div class="comment-body">me</div><p>super<wbr>cali<img src=x>fragil<br>istic</p><article class="x"><a>Teaser</a></article>"""
-    assert html.read(page)[0] == "Prices fell\nFound\nsupercalifragil istic\nTeaser"
-    assert html.read("<p>By the way</p><article><p>A long story that is the page</p></article>")[0] == "A long story that is the page"
+    # a name that could be a story's deletes nothing on a page alone
+    assert html.read(page)[0] == "Prices fell\nFound\nTell\nsupercalifragil istic\nTeaser"
+    assert html.read("<p>By the way</p><article><p>A long story that is the page</p></article>")[0] == "By the way\nA long story that is the page"
+    for name in ('id="comment-on-budget"', 'class="cookie-recipe"', 'class="ad-hoc-report"', 'class="market-alerts"', 'class="search"', 'class="footer-notes"', 'class="story social"', 'id="share-prices"'):
+        assert html.read(f"<div {name}><p>All of it</p></div>")[0] == "All of it", name
 
 
 def test_extraction_of_built_pages(spark, scratch):
