@@ -3,13 +3,16 @@
 A batch of texts is one UTF-8 byte buffer with offsets. Words are the runs of
 bytes outside ``\\x20`` and ``\\x09-\\x0D``; as UTF-8 never holds those bytes inside
 a longer character, this equals the pattern ``[^\\x20\\x09-\\x0D]+`` over characters.
-All hashes are 64-bit; two different words, shingles or lines of one text meet with
-a chance of about n^2 / 2^65, under 1e-8 for a text of a million words.
+
+A span is hashed eight bytes at a time, each step mixing all bits of the state before the next bytes come in; a span
+of more than ``_LONG`` bytes by BLAKE2. So no structure of a text, such as a word whose halves mirror each other, makes two
+spans meet: different words, shingles or lines of one text have one 64-bit hash with a chance of about n^2 / 2^65.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +22,9 @@ _WS = np.zeros(256, bool)
 _WS[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 2**64)
-_pow: dict[int, np.ndarray] = {}
+_LONG = 256
+_SEED, _STEP = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+_TAIL = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)  # the first k of eight bytes
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,19 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    held = _pow.get(base)
-    if held is None or len(held) < n:
-        m = max(1 << 16, 1 << (n - 1).bit_length())
-        held = np.full(m, base, np.uint64)
-        held[0] = 1
-        held = np.multiply.accumulate(held)
-        if m > 1 << 22:
-            return held[:n]
-        _pow[base] = held
-    return held[:n]
-
-
 class Texts:
     """Some texts of a batch: bytes, doc offsets, word spans and span hashing."""
 
@@ -68,16 +56,26 @@ class Texts:
         self.ends = np.flatnonzero(self.nonws & (after | cut[1:])) + 1
         self.first = np.searchsorted(self.starts, offsets)  # index of each text's first word, with an end
         self.n_words = np.diff(self.first)
-        self._sums = None
+        self._eights = None
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of each byte span."""
-        n = len(self.data)
-        if self._sums is None:
-            self._sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * _powers(_BASE, n), out=self._sums[1:])
-        h = (self._sums[ends] - self._sums[starts]) * _powers(_BASE_INV, n + 1)[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+        if self._eights is None:
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            #: The eight bytes from each place on.
+            self._eights = np.ndarray((len(self.data) + 1,), np.dtype("<u8"), padded, 0, (1,))
+        sizes = ends - starts
+        h = mix(sizes.astype(np.uint64) * _STEP + _SEED)
+        live, at = np.flatnonzero((sizes > 0) & (sizes <= _LONG)), 0
+        while len(live):
+            left = sizes[live] - at
+            part = self._eights[starts[live] + at] & _TAIL[np.minimum(left, 8)]
+            h[live] = mix((h[live] ^ part) * _STEP + _SEED)
+            at += 8
+            live = live[left > 8]
+        for i in np.flatnonzero(sizes > _LONG).tolist():
+            h[i] = int.from_bytes(blake2b(self.data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        return h
 
     def words(self) -> np.ndarray:
         return self.spans(self.starts, self.ends)

@@ -602,3 +602,41 @@ def test_site_templates(spark, scratch):
     assert got[2]["text"] == "Story 2" and got[25]["text"] == "Only page" and got[40]["text"] == "x" and got[41]["text"] == ""
     assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and len(got) == len(pages)
     assert html.main_text(df.limit(0), scratch).count() == 0
+
+
+# --- hashes --------------------------------------------------------------------------------
+def thue_morse(n):
+    word, other = "a", "b"
+    while len(word) < n:
+        word, other = word + other, other + word
+    return word, other
+
+
+def test_mirrored_words_have_hashes_of_their_own(spark, scratch):
+    """Words that any polynomial modulo a power of two confuses."""
+    from sparkwire.llm.wordhash import slices
+
+    for n in (8, 64, 256, 512, 1024, 8192):
+        pair = pa.array(list(thue_morse(n)))
+        [(_, _, t)] = slices(pair, lower=True)
+        assert len(set(t.words().tolist())) == 2
+    one, two = thue_morse(1024)
+    docs = [(1, f"one two {one}"), (2, f"one two {two}"), (3, f"one two {one}")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, docs), scratch, minhash.Near(shingle=3, similar=85)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    [line] = quality.measure(pa.array([f"{one}\n{two}\n"], pa.string())).column("n_dup_lines").to_pylist()
+    assert line == 0
+    known = {r["doc_id"]: r["n_known"] for r in lm.score(frame(spark, [(5, two)]), lm.train(frame(spark, [(4, one)]), scratch, least=1)).collect()}
+    assert known == {5: 1}  # the end alone
+
+
+def test_spans_are_told_by_their_bytes_alone():
+    from sparkwire.llm.wordhash import slices
+
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choices("abé字", k=r.choice([1, 2, 7, 8, 9, 16, 17, 255, 256, 257, 600]))) for _ in range(20)) for _ in range(40)]
+    seen = {}
+    for _, _, t in slices(pa.array(texts * 2), lower=True, most_bytes=5000):
+        for h, a, b in zip(t.words().tolist(), t.starts, t.ends, strict=True):
+            assert seen.setdefault(h, t.data[a:b].tobytes()) == t.data[a:b].tobytes()
+    assert len(seen) == len({w.encode() for x in texts for w in x.split(" ")})
