@@ -6,8 +6,9 @@ An extension: a plan of the curated feeds, beyond what they do today.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,20 +164,21 @@ def base_score(slot: Column) -> Column:
     return fresh + covered + points(F.col("tier") <= 2, 1) + points(F.col("is_major"), 1) + points(big, 2) + points(security, 3) + F.when(F.col("event_type") == "funding", funding).otherwise(0)
 
 
-def _posted(rows: pd.DataFrame) -> pd.DataFrame:
+def _posted(rows: pa.Table) -> pa.Table:
     """The best story of each slot in turn, of the few that can be."""
-    used, day, today, out = {}, None, [], []
-    for slot, there in rows.groupby("slot", sort=True):
+    out, used, day, today = [], set(), None, []
+    there = sorted(rows.select(["slot", "id", "cluster_id", "category", "at", "base"]).to_pylist(), key=lambda r: r["slot"])
+    for slot, group in groupby(there, key=lambda r: r["slot"]):
         if slot.date() != day:
             day, today = slot.date(), []
-        there = there[[used.get(i) is None for i in there["id"]]]  # noqa: PLW2901
-        if len(there):
-            there = there.assign(score=there["base"] - 2 * there["category"].isin(today))  # noqa: PLW2901
-            best = there.sort_values(["score", "at", "id"], ascending=[False, False, True]).iloc[0]
-            used[best["id"]] = slot
+        left = [r | {"score": r["base"] - 2 * (r["category"] in today)} for r in group if r["id"] not in used]
+        if left:
+            best = max(left, key=lambda r: (r["score"], r["at"], -r["id"]))
+            used.add(best["id"])
             today.append(best["category"])
-            out.append((slot, best["id"], best["cluster_id"], best["category"], best["score"]))
-    return pd.DataFrame(out, columns=["slot", "id", "cluster_id", "category", "score"])
+            out.append(best)
+    kinds = {"slot": rows.schema.field("slot").type, "id": pa.int64(), "cluster_id": pa.int64(), "category": pa.string(), "score": pa.int32()}
+    return pa.table({k: pa.array([r[k] for r in out], kind) for k, kind in kinds.items()})
 
 
 def slots(stories: DataFrame, hours: tuple[int, ...] = SLOTS) -> DataFrame:
@@ -195,4 +197,4 @@ def slots(stories: DataFrame, hours: tuple[int, ...] = SLOTS) -> DataFrame:
     rows = rows.where((age >= 0) & (age < SLOT_HOURS * 3600)).select("slot", "id", "cluster_id", "category", at.alias("at"), base_score(F.col("slot")).alias("base"))
     best = Window.partitionBy("slot", "category").orderBy(F.col("base").desc(), F.col("at").desc(), "id")
     rows = rows.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= len(hours) + 1).drop("_rank")
-    return rows.groupBy(F.lit(0).alias("_all")).applyInPandas(_posted, "slot timestamp, id long, cluster_id long, category string, score int")
+    return rows.groupBy(F.lit(0).alias("_all")).applyInArrow(_posted, "slot timestamp, id long, cluster_id long, category string, score int")
