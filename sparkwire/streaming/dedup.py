@@ -35,3 +35,11 @@ def late_rows(stream: DataFrame, now: str, hours: int, time: str = "published_at
     cutoff = F.to_timestamp(F.lit(now)) - F.expr(f"interval {hours} hours")
     fresh = F.coalesce(F.col(time) >= cutoff, F.lit(False))
     return stream.where(fresh), stream.where(~fresh)
+
+
+def watched_late(stream: DataFrame, now: str, hours: int, time: str = "published_at", name: str = "freshness") -> DataFrame:
+    """The fresh rows of a stream. How many are dropped as ``too_old`` or ``undated``, and how many there were, is told by the progress of each
+    micro-batch (``observedMetrics``), in the pass that drops them."""
+    cutoff = F.to_timestamp(F.lit(now)) - F.expr(f"interval {hours} hours")
+    seen = stream.observe(name, F.count("*").alias("fetched"), F.count_if(F.col(time) < cutoff).alias("too_old"), F.count_if(F.col(time).isNull()).alias("undated"))
+    return seen.where(F.col(time) >= cutoff)
