@@ -11,7 +11,7 @@ from sparkwire import vocab
 from sparkwire.functions import text as X
 from sparkwire.functions import urls as N
 from sparkwire.functions.layout import fit_headline
-from sparkwire.operators import dedup, fold, publish, reports, rules, scan, schedule, state, stories
+from sparkwire.operators import dedup, fold, outbox, prompts, publish, reports, rules, scan, schedule, state, stories
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -642,6 +642,20 @@ def domains_supported(spark, sf):
     return d.select("doc_id", F.array_join(X.unsupported_domains(F.col("last"), source), "|").alias("unsupported"))
 
 
+# --- prompts ------------------------------------------------------------------------------------------------------
+_CLEAR = "regexp_replace(coalesce({}, ''), '<{{2,}}|>{{2,}}', ' ', 'g')".format
+
+
+@query(f"""SELECT doc_id, {_CLEAR(_TITLE)} AS title, sha256({_CLEAR("text")}) AS summary, {_CLEAR("source")} AS source_name, CAST(doc_id AS VARCHAR) AS original_url,
+  CASE WHEN doc_id % 50 = 0 THEN 'unknown' ELSE strftime(TIMESTAMP '2026-01-01' + to_hours(CAST(doc_id % 1000 AS INTEGER)), '%Y-%m-%dT%H:%M:%S+00:00') END AS publication_date FROM documents""")
+def prompt_records(spark, sf):
+    """The facts of every document as they come back from the prompt that holds them, whole text included."""
+    at = F.when(F.col("doc_id") % 50 != 0, F.expr("timestamp'2026-01-01 00:00:00' + make_dt_interval(0, int(doc_id % 1000))"))
+    asked = prompts.prompt(prompts.record(title(), F.col("text"), F.col("doc_id").cast("string"), at, F.col("source")))
+    back = read(spark, sf, "documents").select("doc_id", prompts.article_data(asked).alias("a"))
+    return back.select("doc_id", "a.title", F.sha2("a.summary", 256).alias("summary"), "a.source_name", "a.original_url", "a.publication_date")
+
+
 # --- sink and layout ----------------------------------------------------------------------------------------------
 @query("""WITH r AS (SELECT event_id, CAST([200, 200, 500, 400, 403, 429, 302][CAST(event_id % 7 + 1 AS INTEGER)] AS INTEGER) AS status, user_id % 3 <> 0 AS has_error, CAST([1, 4, 10, 100, 190, 250, 613][CAST(user_id % 7 + 1 AS INTEGER)] AS INTEGER) AS code, event_id % 2 = 0 AS amb FROM events),
   c AS (SELECT *, status BETWEEN 200 AND 299 AS success, status = 429 OR code IN (4, 17, 32, 613, 80001) AS limited, code IN (102, 190, 10) OR code BETWEEN 200 AND 299 AS auth, code IN (1, 2) AS transient FROM r)
@@ -657,6 +671,31 @@ def response_classes(spark, sf):
     )
 
 
+_KIND = "CASE WHEN event_id % 3 = 0 THEN 'comment' ELSE 'photo' END"
+_SAID = "[{}][CAST(event_id % {} + 1 AS INTEGER)]".format
+_PHOTO, _LOOKUP, _COMMENT = ("ok", "ok", "refused", "ok", "transient"), ("ok", "ok", "ok", "transient"), ("ok", "refused", "transient", "ok", "ok", "ok", "ok")
+
+
+@query(_LATEST + f""", c AS (SELECT article_id AS id, event_id, to_status AS was, {_KIND} AS kind, {_KIND} = 'comment' AND event_id % 2 = 0 AS asks, CASE WHEN article_id % 101 = 77 THEN 'unknown' ELSE {_SAID(quoted(_PHOTO), 5)} END AS photo,
+    {_SAID(quoted(_LOOKUP), 4)} AS lookup, event_id % 8 = 0 AS seen, {_SAID(quoted(_COMMENT), 7)} AS comment FROM l),
+  o AS (SELECT *, kind = 'photo' AND photo = 'ok' AS posted, asks AND lookup = 'ok' AND seen AS found, asks AND lookup <> 'ok' AS blind FROM c),
+  p AS (SELECT *, posted OR (kind = 'comment' AND NOT found AND NOT blind) AS comments FROM o), f AS (SELECT min(id) AS first FROM p WHERE kind = 'photo' AND photo = 'unknown')
+  SELECT id, first IS NULL OR id <= first AS attempted, CASE WHEN id > first OR blind THEN was WHEN kind = 'photo' AND NOT posted THEN 'FAILED' WHEN found OR (comments AND comment = 'ok') THEN 'PUBLISHED' ELSE 'COMMENT_PENDING' END AS status,
+    CASE WHEN id > first THEN 0 ELSE CAST(posted AS INTEGER) + CAST(comments AND comment = 'ok' AS INTEGER) END AS writes,
+    CASE WHEN id > first OR blind THEN 0 ELSE CASE WHEN kind = 'photo' THEN 2 ELSE 0 END + CASE WHEN found THEN 1 WHEN comments THEN 2 ELSE 0 END END AS steps FROM p, f""")
+def publish_flow(spark, sf):
+    """What a publishing run over every article would do, with recorded responses: the first one whose outcome is unknown ends it."""
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
+    e = F.col("event_id")
+    c = latest_state(spark, sf).withColumnRenamed("article_id", "id")
+    rows = c.select("id", "event_id", F.col("to_status").alias("status"), F.when((e % 3 == 0) & (e % 2 == 0), "comment_unknown").alias("error_stage"), F.when(e % 3 == 0, "comment").otherwise("photo").alias("kind"), F.struct("id").alias("place"))
+    told = c.select(
+        "id", F.when(F.col("id") % 101 == 77, "unknown").otherwise(pick(_PHOTO)).alias("photo"), F.lit("p").alias("photo_id"), F.lit("s").alias("post_id"), pick(_LOOKUP).alias("lookup"),
+        F.when(e % 8 == 0, "c").alias("lookup_id"), pick(_COMMENT).alias("comment"), F.lit("c").alias("comment_id"),
+    )
+    return outbox.flow(rows, told).select("id", "attempted", "status", "writes", F.size("path").alias("steps"))
+
+
 @query("SELECT event_id, least(120.0, greatest(2.0 * pow(2.0, event_id % 9), CAST(user_id % 200 AS DOUBLE))) AS wait FROM events")
 def retry_backoff(spark, sf):
     return read(spark, sf, "events").select("event_id", publish.backoff(F.col("event_id") % 9 + 1, (F.col("user_id") % 200).cast("double")).alias("wait"))
