@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """The rows as they are now, kept in the folder that ``spark.checkpoint.dir`` names; a folder of its own only where none is set (tests)."""
+    """The rows as they are now, kept in the folder that ``spark.checkpoint.dir`` names; a folder of its own only where none is set, in a single process (tests)."""
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        if spark.sparkContext.master.startswith("local"):
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkwire-"))
-        else:
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="sparkwire-"))
     return df.checkpoint()
 
 
