@@ -36,6 +36,7 @@ from sparkwire.llm.scratch import Scratch
 from sparkwire.llm.tokenids import cut_of
 
 BLOCK = 1 << 24
+_STEP = 1 << 15
 _MANY_LINKS = 4096  # of one group; with more, equal pairs are summed up before they are written out
 _ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -218,7 +219,7 @@ class _Groups:
             live = size > j
             ids[live] = ids[live] * 10 + data[starts[live] + j] - 48
         has = np.diff(at) > 0
-        segment = np.searchsorted(at, starts, "right") - 1
+        segment = (np.searchsorted(at, starts, "right") - 1).astype(np.int32)
         group = np.cumsum(data == ord(";"), dtype=np.int32)[starts] + (np.cumsum(has) - has)[segment] if len(starts) else np.zeros(0, np.int64)
         is_b = np.cumsum(data == ord("|"), dtype=np.int32)[starts] > group if len(starts) else np.zeros(0, bool)
         n_groups = int(group[-1]) + 1 if len(group) else 0
@@ -229,15 +230,22 @@ class _Groups:
         per_segment = lambda x: np.bincount(of, x, n).astype(np.int64)
         self.n_a, self.n_b, self.n_groups, self.n_links = (per_segment(x) for x in (na, nb, np.ones(n_groups), links))
         small = np.flatnonzero(links <= _MANY_LINKS)
-        each = np.repeat(small, links[small])
-        i = _ranges(np.zeros(len(small), np.int64), links[small])
-        pairs, places, times = [ids[first[each] + i // nb[each]] << 32 | ids[first[each] + na[each] + i % nb[each]]], [of[each]], [np.ones(len(each), np.int64)]
+        pairs, places, times = [], [], []
+        for lo in range(0, len(small), _STEP):  # some groups at a time
+            some = small[lo : lo + _STEP]
+            each = np.repeat(some, links[some])
+            i = _ranges(np.zeros(len(some), np.int64), links[some])
+            pairs.append(ids[first[each] + i // nb[each]] << 32 | ids[first[each] + na[each] + i % nb[each]])
+            places.append(of[each])
+            times.append(np.ones(len(each), np.int64))
         for g in np.flatnonzero(links > _MANY_LINKS):
             (x, p), (y, q) = (np.unique(ids[lo : lo + k], return_counts=True) for lo, k in ((first[g], na[g]), (first[g] + na[g], nb[g])))
             pairs.append((x[:, None] << 32 | y).ravel())
             times.append((p[:, None] * q).ravel())
             places.append(np.full(len(x) * len(y), of[g]))
-        pair, place, self.times = map(np.concatenate, (pairs, places, times))
+        none = np.zeros(0, np.int64)
+        pair, place, self.times = (np.concatenate([none, *x]) for x in (pairs, places, times))
+        del starts, ends, ids, segment, group, is_b, digit, edge, pairs, places, times
         order = np.argsort(place, kind="stable")
         self.times = self.times[order]
         #: The block's different pairs, the place of each link's pair among them, and where each segment's links begin.
@@ -261,6 +269,8 @@ def _compose(blocks: pa.Table, placed: pa.Table) -> pa.Table:
     held, times, many = _links(codes, cuts, good, found)
     docs = np.bincount(held, minlength=len(found.pairs))
     keep = np.flatnonzero(docs)
+    del raw, texts, placed
+    pa.default_memory_pool().release_unused()
     out = {"block": row["block"], "ids": row["ids"], "digests": digests, "held": _pack(held.astype(np.uint32)), "times": _pack(times), "many": many, "places": keep, "pairs": found.pairs[keep], "docs": docs[keep]} | sums
     return pa.Table.from_arrays([pa.array([out[f.name]], f.type) for f in _COMPOSED], schema=_COMPOSED)
 
