@@ -62,3 +62,21 @@ def quality(text):
     covered = {i + j for v in at.values() if len(v) > 1 for i in v for j in range(3)}
     symbols = sum((text or "").count(c) for c in "#*$%&|<>")
     return len(w), sum(map(len, w)), symbols, dup, len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)
+
+
+def kept(text, bands):
+    """The compression bands' verdict: whole texts by the limits of their length, longer ones by chunks too."""
+    import zstandard
+
+    raw, z = (text or "").encode(), zstandard.ZstdCompressor(level=bands.level)
+    if quality(text)[5]:
+        return False
+    within = lambda n: max(x for x in bands.whole if x[0] <= n)[1:]
+    ratio = lambda b: len(z.compress(b)) / len(b)
+    bad = 0
+    for i in range(0, len(raw), bands.chunk_bytes):
+        c = raw[i : i + bands.chunk_bytes]
+        least, most = (bands.chunk_least, bands.chunk_most) if len(c) == bands.chunk_bytes else within(len(c))
+        bad += 0 if least <= ratio(c) <= most else len(c)
+    least, most = within(len(raw))
+    return least <= ratio(raw) <= most and (len(raw) <= bands.chunk_bytes or bad <= bands.chunk_share * len(raw))

@@ -1,29 +1,34 @@
-"""The pipeline against a plain version of all its stages, on a small folder of documents."""
+"""The pipeline against a plain version of all its stages, on a small folder of documents; empty tables and clashing columns."""
 
 from collections import Counter
 
-import pyarrow as pa
+import duckdb
 
 import corpus_pipeline
-from sparkwire.llm import mixing, quality, tokenids
+from sparkwire.llm import quality, tokenids
 from sparkwire.llm.queries import oracle_sql, queries, tokenizer_path
-from sparkwire.llm.scratch import Scratch
 from tests.llm import brute
 from tests.llm.test_operators import corpus
 
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+
 
 def test_run(spark, tmp_path):
     docs = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in corpus(seed=9)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
-    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(docs, KIND).write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    good = [d for d, k in zip(docs, quality.measure(pa.array([d[1] for d in docs], pa.string())).column("kept").to_pylist(), strict=True) if k]
+    good = [d for d in docs if brute.kept(d[1], quality.Bands())]
     assert 0 < len(good) < len(docs)
     component = brute.near([(d[0], d[1]) for d in good], 5, 80)
     left = [d for d in good if component[d[0]] == d[0]]
     assert len(left) < len(good)
-    taken = mixing.taken(spark.createDataFrame(left, df.schema), Scratch(spark, "t")).collect()
-    times = {r["doc_id"]: r["taken"] // r["size"] for r in taken}
+    # the mix by its SQL
+    spark.createDataFrame(left, KIND).write.parquet(str(tmp_path / "left"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/left/*.parquet'")
+    r = con.execute(oracle_sql()["op8_source_mixing"])
+    names = [x[0] for x in r.description]
+    times = {x["doc_id"]: x["taken"] // x["size"] for x in (dict(zip(names, y, strict=True)) for y in r.fetchall())}
     e = tokenids.encoder(tokenizer_path("word_bpe_49k.json"))
     want = Counter()
     for d in left:
@@ -35,6 +40,25 @@ def test_run(spark, tmp_path):
     assert len({r["sequence_id"] for r in got}) == len(brute.best_fit([r["length"] for r in got], 4096))
 
 
+def test_odd_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and columns with the operators' own names; then no rows at all."""
+    texts = [t for _, t in corpus(seed=4)]
+    rows = [(i if i % 17 else None, t, None, None if i % 5 else "s", None, "a", i, "b", 1.0, "c") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[:9], KIND + ", row string, hash long, kept string, size double, key string")
+    path = str(tmp_path / "odd")
+    df.write.parquet(f"{path}/documents.parquet")
+    docs = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+        assert docs.columns == df.columns and docs.count() > 0, name
+        docs.write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, path)
+    assert packed.count() >= docs.count() > 0
+    df.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_registered():
     assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 14)]
     assert set(oracle_sql()) <= set(queries())
