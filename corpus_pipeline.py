@@ -13,6 +13,11 @@ from sparkwire.llm.queries import tokenizer_path
 from sparkwire.llm.scratch import Scratch, table_path
 
 
+# Whatever other columns documents have, and whatever they are called, the first three stages give them back. Null and empty texts are judged
+# (and dropped) by the first stage; rows without an id, and repeated rows, are documents like others but for near-dedup, where one id is one document;
+# an empty table gives an empty one at every stage.
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
