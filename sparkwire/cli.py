@@ -54,15 +54,29 @@ def documents(spark, s, args):
 
 
 def doctor(s, spark) -> list[tuple[str, str, str]]:
-    rows = [("OK" if Path(s.feeds_file).is_file() else "FAIL", "feed registry", s.feeds_file)]
+    """Rows (status, what, detail) on the registry, the gates, the store and every rule of the audit, the whole log included."""
+    rows = []
+    try:
+        feeds = S.registry(Path(s.feeds_file).read_text("utf-8"))
+        enabled = sum(f.enabled for f in feeds)
+        rows.append(("OK" if enabled else "FAIL", "feed registry", f"{enabled} of {len(feeds)} feeds enabled"))
+    except (OSError, S.RegistryError) as e:
+        rows.append(("FAIL", "feed registry", conf.redact(str(e))))
     closed = publish.closed_gates(s.dry_run, s.publish_enabled, False, s.fb_page_id, s.fb_page_access_token)
     rows.append(("OK" if closed else "WARN", "publishing", "; ".join(closed)))
-    current = Store(spark, s.database_path).current()
+    store = Store(spark, s.database_path)
+    number, manifest = store.manifest()
+    rows.append(("OK", "store", f"schema {manifest['schema']}, snapshot {number}, {sum(map(len, manifest['tables'].values()))} folders"))
+    current = store.current()
     if current is not None:
         for c in ("category", "catchy_headline", "facebook_caption", "image_path", "facebook_photo_id", "facebook_post_id", "facebook_comment_id"):
             if c not in current.columns:
                 current = current.withColumn(c, F.col({"catchy_headline": "headline", "facebook_caption": "caption"}[c]) if c in ("catchy_headline", "facebook_caption") else F.lit(None).cast("string"))
-        rows += [("FAIL" if r["violations"] else "OK", r["rule"], str(r["violations"])) for r in state.audit(current).collect()]
+        counts = current.agg(F.count("*").alias("n"), F.count_if(state.unknown_outcome()).alias("unknown"), F.count_if(state.resumable(s.max_retries_per_article)).alias("unfinished")).first()
+        rows.append(("WARN" if counts["unknown"] else "OK", "articles", f"{counts['n']} in the store, {counts['unfinished']} unfinished, {counts['unknown']} with an unknown outcome"))
+        rows += [("FAIL" if r["violations"] else "OK", r["rule"], str(r["violations"])) for r in state.audit(current, store.read("events")).collect()]
+        last = reports.recent_runs(store.runs(), 1).collect() if store.runs() is not None else []
+        rows += [("OK" if r["outcome"] == "ok" else "WARN", "last run", f"{r['started_at']} {r['outcome'] or 'running or interrupted'}") for r in last]
     return rows
 
 
