@@ -5,6 +5,8 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -140,15 +142,28 @@ def comment_text(url: Column) -> Column:
     return F.concat(F.lit(vocab.COMMENT_PREFIX), url)
 
 
-def category_key(label: Column) -> Column:
-    text = F.regexp_replace(F.replace(F.upper(label), F.lit("&"), F.lit(" AND ")), "[^A-Z0-9 ]+", " ")
+@cache
+def _single_uppers() -> tuple[str, str]:
+    """Letters that have one letter as their upper case, and those letters in the same order."""
+    one = {c: next((u for u in (c.upper(), c.title()) if len(u) == 1), c) for c in map(chr, range(0x20000))} | {"ß": "ẞ"}
+    changed = [c for c in one if one[c] != c]
+    return "".join(changed), "".join(one[c] for c in changed)
+
+
+def simple_upper(text: Column) -> Column:
+    """Upper case letter by letter, as DuckDB has it: ß becomes ẞ and a ligature stays, where ``F.upper`` makes SS and FI of them."""
+    return F.translate(text, *_single_uppers())
+
+
+def category_key(label: Column, upper: Callable[[Column], Column] = F.upper) -> Column:
+    text = F.regexp_replace(F.replace(upper(label), F.lit("&"), F.lit(" AND ")), "[^A-Z0-9 ]+", " ")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def category(label: Column) -> Column:
+def category(label: Column, upper: Callable[[Column], Column] = F.upper) -> Column:
     """One of five categories, or null."""
     pairs = [x for c, names in vocab.CATEGORY_ALIASES.items() for a in (c, *names) for x in (F.lit(a), F.lit(c))]
-    return F.try_element_at(F.create_map(*pairs), category_key(label))
+    return F.try_element_at(F.create_map(*pairs), category_key(label, upper))
 
 
 def token_fingerprint(token: Column) -> Column:
