@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
@@ -52,12 +53,12 @@ def _first(*checks: tuple[str, Column]) -> Column:
     return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), code) for code, c in checks], F.lit(None).cast("string"))
 
 
-def headline_rule(h: Column) -> Column:
+def headline_rule(h: Column, upper: Callable[[Column], Column] = F.upper) -> Column:
     """Of a normalised headline."""
     words = F.split(h, " ")
     low, high = vocab.HEADLINE_WORDS
     lettered = F.filter(words, lambda w: F.length(F.regexp_replace(w, r"[^\p{L}]", "")) >= 2)
-    loud = F.filter(lettered, lambda w: (w == F.upper(w)) & (w != F.lower(w)))
+    loud = F.filter(lettered, lambda w: (w == upper(w)) & (w != F.lower(w)))
     return _first(
         ("V09", h == ""),
         ("V10", (F.size(words) < low) | (F.size(words) > high)),
@@ -89,9 +90,9 @@ def caption_rule(c: Column) -> Column:
     )
 
 
-def verdict(answers: DataFrame, raw: str = "answer") -> DataFrame:
+def verdict(answers: DataFrame, raw: str = "answer", upper: Callable[[Column], Column] = F.upper) -> DataFrame:
     """answers, with title, summary, source_name and original_url of their article, and: ``rule`` (null: passed),
-    ``outcome`` (approved, rejected or invalid), ``category``, ``headline``, ``caption``, ``reason``."""
+    ``outcome`` (approved, rejected or invalid), ``category``, ``headline``, ``caption``, ``reason``. ``upper`` is the upper case of V06 and V15."""
     text = strip(F.coalesce(raw, F.lit("")))
     parsed = answers.withColumn("_t", text).withColumn("_a", F.from_json("_t", ANSWER))
     a = F.col("_a")
@@ -106,11 +107,11 @@ def verdict(answers: DataFrame, raw: str = "answer") -> DataFrame:
     refused = _first(("V04", F.col("reason") == ""), ("V05", leaks(F.col("reason"))))
     kept = F.coalesce(
         _first(
-            ("V06", X.category(a["category"]).isNull()),
+            ("V06", X.category(a["category"], upper).isNull()),
             ("V07", strip(F.coalesce(a["original_url"], F.lit(""))) != F.col("original_url")),
             ("V08", leaks(h) | leaks(c)),
         ),
-        headline_rule(h),
+        headline_rule(h, upper),
         caption_rule(c),
         _first(
             ("V25", F.size(X.unsupported_numbers(copy, source)) > 0),
@@ -122,7 +123,7 @@ def verdict(answers: DataFrame, raw: str = "answer") -> DataFrame:
     passed = F.col("rule").isNull()
     return out.withColumns({
         "outcome": F.when(~passed, "invalid").when(relevant, "approved").otherwise("rejected"),
-        "category": F.when(passed & relevant, X.category(a["category"])),
+        "category": F.when(passed & relevant, X.category(a["category"], upper)),
         "headline": F.when(passed & relevant, h),
         "caption": F.when(passed & relevant, c),
         "reason": F.when(passed & ~relevant, F.substring("reason", 1, vocab.REASON_CHARS)),
